@@ -88,7 +88,7 @@ def join_small(left: DataFrame, right: DataFrame, how: str, limit: int = BROADCA
 
 
 class WordHash(dict):
-    """word -> 64-bit hash, remembered for up to ``most`` words."""
+    """word -> 64-bit hash of its lower case, remembered for up to ``most`` words."""
 
     def __init__(self, most: int = 200_000):
         super().__init__()
@@ -97,7 +97,7 @@ class WordHash(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        made = self[word] = xxhash.xxh3_64_intdigest(word)
+        made = self[word] = xxhash.xxh3_64_intdigest(word.lower())
         return made
 
 
@@ -106,7 +106,7 @@ _HASH = WordHash()
 
 def word_hashes(text: str) -> np.ndarray:
     """Hash of every word (letters and digits, case folded) of the text."""
-    words = WORD.findall(text.lower())
+    words = WORD.findall(text)
     return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
 
 
@@ -204,3 +204,48 @@ def agreed(buckets: DataFrame, verify) -> DataFrame:
         drop(comp)
     drop(shared, mixed, good, more)
     return done
+
+
+def merge_spans(spans: DataFrame) -> DataFrame:
+    """Unions of overlapping or touching [start, end) by (KEY, doc_id, kind)."""
+    who = [KEY, "doc_id", "kind"]
+    w = Window.partitionBy(*who).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
+    island = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return spans.withColumn("new", new).withColumn("island", island).groupBy(*who, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def parts(spark: SparkSession, times: int = 2) -> int:
+    """Number of hash groups for a shuffle whose groups are worked on as arrays."""
+    return times * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranks_of(ids: list, keys: np.ndarray) -> np.ndarray:
+    """Order of documents, as a number for each row: by doc_id (null last), then by key."""
+    null = np.array([i is None for i in ids])
+    value = np.array([0 if i is None else i for i in ids], np.int64)
+    order = np.lexsort((keys, value, null))
+    change = np.ones(len(order), bool)
+    k = keys[order]
+    change[1:] = k[1:] != k[:-1]
+    made = np.empty(len(order), np.int64)
+    made[order] = np.cumsum(change)
+    return made
+
+
+#: Repeats of at least ``least`` words in two or more documents, in SQL (for ``repeats``' and ``blocks``' results).
+REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, min(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS w
+  FROM documents GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS k FROM d),
+s AS (SELECT k, doc_id, w, unnest(range(0, len(w) - {least} + 1)) AS a FROM n WHERE len(w) >= {least}),
+g AS (SELECT k, doc_id, a, array_to_string(list_slice(w, a + 1, a + {least}), ' ') AS t FROM s),
+f AS (SELECT k, doc_id, a, min(k) OVER (PARTITION BY t) AS lo, max(k) OVER (PARTITION BY t) AS hi FROM g),
+x AS (SELECT k, doc_id, a, 'repeat' AS kind FROM f WHERE lo <> hi UNION ALL SELECT k, doc_id, a, 'copy' FROM f WHERE lo < k),
+y AS (SELECT *, CASE WHEN a > lag(a) OVER (PARTITION BY k, kind ORDER BY a) + {least} THEN 1 ELSE 0 END AS new FROM x),
+z AS (SELECT *, sum(new) OVER (PARTITION BY k, kind ORDER BY a) AS island FROM y)
+SELECT doc_id, kind, CAST(min(a) AS INTEGER) AS "start", CAST(max(a) + {least} AS INTEGER) AS "end"
+FROM z GROUP BY k, doc_id, kind, island
+"""

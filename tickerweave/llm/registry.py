@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, sentencepiece_scan, token_counts, toxicity
+from . import blocks, edit_embedding, minhash, mixing, runs, sentencepiece_scan, token_counts, toxicity
+from .common import REPEATS_SQL
 
 
 def _table(name):
@@ -15,6 +16,10 @@ _docs, _labels = _table("documents"), _table("labels")
 def queries() -> dict:
     return {
         "op1_toxicity": lambda spark, sf: toxicity.toxicity(_docs(spark, sf), _labels(spark, sf)),
+        "op2_suffix_array_dedup": lambda spark, sf: runs.run_repeats(_docs(spark, sf)),
+        "op3_minhash_near_dedup": lambda spark, sf: minhash.near_duplicates(_docs(spark, sf)),
+        "op4_document_fingerprints": lambda spark, sf: edit_embedding.edit_groups(_docs(spark, sf)),
+        "op7_substring_dedup": lambda spark, sf: blocks.block_repeats(_docs(spark, sf)),
         "op8_sentencepiece": lambda spark, sf: sentencepiece_scan.encode(_docs(spark, sf)),
         "op9_mixing": lambda spark, sf: mixing.mix_sources(_docs(spark, sf)),
         "op10_token_counts": lambda spark, sf: token_counts.token_counts(_docs(spark, sf)),
@@ -22,4 +27,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    repeats = REPEATS_SQL.format(least=50)
+    return {"op2_suffix_array_dedup": repeats, "op7_substring_dedup": repeats}

@@ -13,6 +13,8 @@ included, is that of one search over the whole text.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -73,15 +75,37 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return [first, *(p[0] for p in prefixes(matrices[:-1]))] if len(matrices) > 1 else [first]
 
 
-def exits(model: Unigram, text: str, size: int, entry: np.ndarray) -> list[tuple[int, int, list[int]]]:
-    """(exit offset, entry offset, ids) of the best path to each exit that can be reached."""
+def exits(model: Unigram, text: str, size: int, entry: np.ndarray) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
+    """(ids of the stretch that all best paths share, [(exit offset, entry offset, ids after it)]) for the exits that can be reached."""
     best, start, piece = model.lattice(text, {i: x for i, x in enumerate(entry) if x > -1e299 and i <= len(text)})
+    ends = [j for j in range(min(model.longest, len(text) - size + 1)) if best[size + j] > -1e299]
+    seen, meet = {size + ends[0]}, size + ends[0]
+    at = size + ends[0]
+    while start[at] >= 0:
+        at = start[at]
+        seen.add(at)
+    for j in ends[1:]:
+        at = size + j
+        while at not in seen and start[at] >= 0:
+            at = start[at]
+        meet = min(meet, at if at in seen else -1)
+    trunk, common = model.back(text, start, piece, meet) if meet >= 0 else ([], -1)
     made = []
-    for j in range(min(model.longest, len(text) - size + 1)):
-        if best[size + j] > -1e299:
-            ids, at = model.back(text, start, piece, size + j)
-            made.append((j, at, ids))
-    return made
+    for j in ends:
+        end = size + j
+        while end != meet and start[end] >= 0:
+            end = start[end]
+        ids, at = _between(model, text, start, piece, size + j, end)
+        made.append((j, common if meet >= 0 else at, ids))
+    return trunk, made
+
+
+def _between(model: Unigram, text: str, start: list[int], piece: list[int], end: int, stop: int) -> tuple[list[int], int]:
+    """Ids of the path from ``stop`` to ``end``, and ``stop``."""
+    kept, start[stop] = start[stop], -1
+    ids, at = model.back(text, start, piece, end)
+    start[stop] = kept
+    return ids, at
 
 
 def _list(blobs: list[bytes]) -> pa.Array:
@@ -90,7 +114,7 @@ def _list(blobs: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 32_768) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 65_536) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) for every row of ``docs``.
 
     round_trip: decoding ids gives the text again (with U+2581 read as a
@@ -124,7 +148,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 32_768) -> Da
             )
 
     def combine(pdf):
-        pdf = pdf.sort_values("k")
+        pdf = pdf.drop_duplicates("k").sort_values("k")
         n = int(np.sqrt(len(pdf["m"].iloc[0]) // 8))
         got = scan([np.frombuffer(m, np.float64).reshape(n, n) for m in pdf["m"]])
         return pd.DataFrame({KEY: pdf[KEY].to_numpy(), "k": pdf["k"].to_numpy(), "entry": [v.tobytes() for v in got]})
@@ -134,25 +158,27 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 32_768) -> Da
         for pdf in frames:
             out: list = []
             for key, k, text, size, entry in zip(pdf[KEY], pdf["k"], pdf["part"], pdf["size"], pdf["entry"]):
-                for j, i, ids in exits(unigram, text, int(size), np.frombuffer(entry, np.float64)):
-                    out.append((key, k, j, i, np.array(ids, np.int32).tobytes()))
+                trunk, tails = exits(unigram, text, int(size), np.frombuffer(entry, np.float64))
+                out.append((key, k, -1, 0, np.array(trunk, np.int32).tobytes()))
+                out += [(key, k, j, i, np.array(ids, np.int32).tobytes()) for j, i, ids in tails]
             yield pd.DataFrame(out, columns=[KEY, "k", "j", "i", "ids"])
 
     def follow(pdf):
+        unigram = loaded(shared)[0]
         by = {(k, j): (i, b) for k, j, i, b in zip(pdf["k"], pdf["j"], pdf["i"], pdf["ids"])}
-        parts, j = [], 0
+        made, j = [], 0
         for k in range(int(pdf["k"].max()), -1, -1):
             j, b = by[k, j]
-            parts.append(b)
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "blob": [b"".join(reversed(parts))]})
+            made += [b, by[k, -1][1]]
+        blob = b"".join(reversed(made))
+        text = unigram.decode(memoryview(blob).cast("i"))
+        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "blob": [blob], "md5": [hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()]})
 
-    def check(batches):
-        unigram = loaded(shared)[0]
+    def unpack(batches):
         for batch in batches:
-            blobs, texts = batch.column("blob").to_pylist(), batch.column("text").to_pylist()
-            same = [unigram.decode(memoryview(b).cast("i")) == t.replace(SPACE, " ") for b, t in zip(blobs, texts)]
+            blobs = batch.column("blob").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(b) // 4 for b in blobs], pa.int64()), _list(blobs), pa.array(same, pa.bool_())],
+                [batch.column("doc_id"), pa.array([len(b) // 4 for b in blobs], pa.int64()), _list(blobs), batch.column("round_trip")],
                 ["doc_id", "n_tokens", "ids", "round_trip"],
             )
 
@@ -161,8 +187,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 32_768) -> Da
     look = Unigram(shared.value).longest - 1
     norm = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
     chunks = (
-        longer.dropDuplicates([KEY])
-        .select(KEY, norm.alias("norm"))
+        longer.select(KEY, norm.alias("norm"))
         .select(KEY, "norm", F.explode(F.expr(f"sequence(0, cast((length(norm) - 1) div {chunk_chars} as int))")).alias("k"))
         .select(
             KEY, "k", F.expr(f"substring(norm, k * {chunk_chars} + 1, {chunk_chars + look})").alias("part"),
@@ -172,8 +197,9 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 32_768) -> Da
     chunks = chunks.repartition(KEY, "k")
     entries = chunks.mapInPandas(matrices, f"{KEY} long, k int, m binary").groupBy(KEY).applyInPandas(combine, f"{KEY} long, k int, entry binary")
     found = chunks.join(entries, [KEY, "k"]).mapInPandas(paths, f"{KEY} long, k int, j int, i int, ids binary")
-    blobs = found.groupBy(KEY).applyInPandas(follow, f"{KEY} long, blob binary")
-    giant = longer.join(blobs, KEY).select("doc_id", "text", "blob").mapInArrow(check, schema)
+    blobs = found.groupBy(KEY).applyInPandas(follow, f"{KEY} long, blob binary, md5 string")
+    ids = longer.select(KEY, "doc_id", F.md5(F.translate("text", SPACE, " ")).alias("want"))
+    giant = ids.join(blobs, KEY).select("doc_id", "blob", (F.col("want") == F.col("md5")).alias("round_trip")).mapInArrow(unpack, schema)
     return short.unionByName(giant)
 
 
