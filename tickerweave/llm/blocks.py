@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, drop, join_small, keyed, merge_spans, mix, parts, ranks_of, ready, windows, word_hashes
+from .common import KEY, cut, join_small, keyed, merge_spans, mix, parts, ranks_of, ready, windows, word_hashes
 
 _PACKED = "p int, docs binary, counts binary, steps binary, hashes binary"
 
