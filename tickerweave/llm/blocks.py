@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, join_small, keyed, merge_spans, mix, parts, ranks_of, ready, windows, word_hashes
+from .common import KEY, cut, keyed, merge_spans, mix, parts, ranks_of, ready, windows, word_hashes
 
 _PACKED = "p int, docs binary, counts binary, steps binary, hashes binary"
 
@@ -93,9 +93,8 @@ def shared_blocks(docs: DataFrame, block: int = 25, least: int = 50) -> DataFram
     spark = ready(docs.sparkSession)
     reach, groups = least - block + 1, parts(spark)
     found = hits(docs, block).distinct()
-    by_doc = cut(found.groupBy(KEY).agg(F.collect_list(F.struct("pos", "g")).alias("hits"), F.count("*").alias("m")))
-    total = by_doc.agg(F.sum("m")).first()[0] or 0
-    rows = join_small(keyed(docs), by_doc.drop("m"), "inner", 3_000_000 * (total <= 3_000_000))
+    by_doc = cut(found.groupBy(KEY).agg(F.collect_list(F.struct("pos", "g")).alias("hits")))
+    rows = keyed(docs).join(by_doc, KEY)
     schema = f"p int, g long, {KEY} long, doc_id long, pos int, near binary"
 
     def around(batches):
