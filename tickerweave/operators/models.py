@@ -83,4 +83,6 @@ def loss_plateau(log: DataFrame, patience: int) -> DataFrame:
     best = log.withColumn("best", F.min("val_mse").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = best.withColumn("at", F.max(F.when(F.col("val_mse") == F.col("best"), F.col("epoch"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     waited = at.withColumn("waited", F.col("epoch") - F.col("at"))
-    return waited.filter(F.coalesce(F.lag("waited").over(w), F.lit(0)) < patience).select("epoch", "val_mse", "best", "waited", F.pow(F.lit(0.5), F.floor(F.col("waited") / 7)).alias("lr_factor"))
+    over = waited.withColumn("over", F.max("waited").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    live = over.filter(F.coalesce("over", F.lit(0)) < patience)
+    return live.select("epoch", "val_mse", "best", "waited", F.pow(F.lit(0.5), F.floor(F.col("waited") / 7)).alias("lr_factor"))
