@@ -336,6 +336,65 @@ def _search(s, sf):
 _add("l05_grid_search", _search)
 
 
+# --- further operators of the inventory ------------------------------------
+
+
+def _predictions_written(s, sf):
+    path = S.fresh_path(s, "predictions")
+    _predicted(s, sf).select("Ticker", "Date", F.col("target_close").alias("actual"), "prediction").write.parquet(path)
+    return s.read.parquet(path)
+
+
+def _csv_folder(s, sf, glob=None):
+    """The customers of each segment in their own CSV folders, read back by one glob over the files."""
+    path = S.fresh_path(s, "segments")
+    V.table(s, sf, "customer").write.partitionBy("c_mktsegment").option("header", True).csv(path)
+    return S.read_csv(s, f"{path}/*", "c_custkey long, c_name string, c_nationkey int, c_acctbal double", glob="part-*.csv")
+
+
+def _news_repaired(s, sf):
+    """Two news files, one of them without a header line, taken by position."""
+    rows = V.news(s, sf).select("date", F.col("doc_id").cast("string").alias("title"), F.md5("news").alias("news"), "url", "doc_id")
+    paths = []
+    for i in range(2):
+        paths.append(S.fresh_path(s, "news"))
+        rows.filter(F.col("doc_id") % 2 == i).drop("doc_id").coalesce(1).write.option("header", i == 0).csv(paths[-1])
+    return S.news_files(s, paths).select("date", "title", "news", "url", "file")
+
+
+def _landed_prices(s, sf):
+    path = S.fresh_path(s, "prices")
+    V.bars(s, sf).write.parquet(path)
+    return S.landed_prices(s, path, "1995-01-01", "1996-01-01")
+
+
+def _trial_logs(s, sf):
+    path = S.fresh_path(s, "trials")
+    V.table(s, sf, "supplier").select(F.col("s_suppkey").alias("trial_id"), F.col("s_acctbal").alias("val_loss")).write.json(path)
+    return E.best_trial(s.read.schema("trial_id long, val_loss double").json(path))
+
+
+_add("s02_csv_round_trip_nation", lambda s, sf: (lambda p: (S.write_csv(V.table(s, sf, "nation"), p), S.read_csv(s, p, "n_nationkey int, n_name string, n_regionkey int"))[1])(S.fresh_path(s, "nation")), "SELECT * FROM nation")
+_add("s05_glob_scan", _csv_folder, "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+_add("s07_header_repair", _news_repaired, _N + "SELECT CAST(date AS VARCHAR) AS date, CAST(doc_id AS VARCHAR) AS title, md5(news) AS news, url, CAST(doc_id % 2 AS INTEGER) AS file FROM news")
+_add("s12_landed_prices", _landed_prices, f"WITH {V.BARS} SELECT * FROM bars WHERE Date >= DATE '1995-01-01' AND Date < DATE '1996-01-01'")
+_add("s14_trial_logs", _trial_logs, "SELECT s_suppkey AS trial_id, s_acctbal AS val_loss FROM supplier ORDER BY 2, 1 LIMIT 1")
+_add("k06_predictions_written", _predictions_written, f"{_PRED} SELECT Ticker, Date, target_close AS actual, prediction FROM p")
+_add("o02_resorted_chunks", lambda s, sf: _resumed(s, sf).orderBy("o_totalprice", "o_orderkey"), "SELECT o_orderkey, o_totalprice, CAST(o_orderkey % 4 AS BIGINT) AS chunk FROM orders ORDER BY 2, 1")
+_add("j06_global_scaling", lambda s, sf: (lambda b: D.scaled(b, D.fit_min_max(b, ["Open", "Close"]), ["Open", "Close"]).select("Ticker", "Date", *_rnd("Open", "Close", digits=6)))(V.bars(s, sf).select("Ticker", "Date", "Open", "Close")), f"WITH {V.BARS}, m AS (SELECT min(Open) AS ol, max(Open) AS oh, min(Close) AS cl, max(Close) AS ch FROM bars) SELECT Ticker, Date, {_r('(Open - ol) / (oh - ol)', 6)} AS Open, {_r('(Close - cl) / (ch - cl)', 6)} AS Close FROM bars, m")
+_add("j07_aligned_predictions", lambda s, sf: V.bars(s, sf).select("Ticker", "Date", F.col("Close").alias("actual")).join(_predicted(s, sf).select("Ticker", "Date", "prediction"), ["Ticker", "Date"]), f"{_PRED} SELECT Ticker, Date, prediction AS actual, prediction FROM p")
+_add("a13_metrics_top_tickers", lambda s, sf: E.regression(_predicted(s, sf).join(R.top_keys(V.bars(s, sf), "Ticker", 5).select("Ticker"), "Ticker", "left_semi"), "target_close", "prediction", ["Ticker"]).select("Ticker", *_rnd("mae", "rmse")), f"{_PRED}, k AS (SELECT Ticker FROM bars GROUP BY 1 ORDER BY count(*) DESC, Ticker LIMIT 5) SELECT Ticker, {_r('avg(abs(target_close - prediction))')} AS mae, {_r('sqrt(avg((target_close - prediction) * (target_close - prediction)))')} AS rmse FROM p WHERE Ticker IN (SELECT Ticker FROM k) GROUP BY 1")
+_add("u04_flattened_windows", lambda s, sf: _D(s, sf).select("doc_id", F.posexplode(C.tokens(F.col("text"))).alias("pos", "token")), r"SELECT doc_id, CAST(unnest(range(0, len(w))) AS INTEGER) AS pos, unnest(w) AS token FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x{00A0}]+'), lambda t: t <> '') AS w FROM documents)")
+_add("t06_lower", lambda s, sf: V.table(s, sf, "customer").select("c_custkey", F.lower("c_mktsegment").alias("t")), "SELECT c_custkey, lower(c_mktsegment) AS t FROM customer")
+_add("t11_joined_tokens", lambda s, sf: _D(s, sf).select("doc_id", F.length(F.array_join(C.tokens(F.col("text")), " ")).alias("n")), r"SELECT doc_id, CAST(length(array_to_string(list_filter(regexp_split_to_array(text, '[\s\x{00A0}]+'), lambda t: t <> ''), ' ')) AS INTEGER) AS n FROM documents")
+_add("m02_maths", lambda s, sf: V.table(s, sf, "customer").select("c_custkey", C.rounded(F.ln(F.abs("c_acctbal") + 1), 6).alias("ln"), C.rounded(F.sqrt(F.abs("c_acctbal")), 6).alias("root"), C.clipped(F.col("c_acctbal"), 0.0, 5000.0).alias("clipped")), f"SELECT c_custkey, {_r('ln(abs(c_acctbal) + 1)', 6)} AS ln, {_r('sqrt(abs(c_acctbal))', 6)} AS root, least(greatest(c_acctbal, 0.0::DOUBLE), 5000.0::DOUBLE) AS clipped FROM customer")
+_add("m04_polarity", lambda s, sf: M.LexiconScorer().score(V.table(s, sf, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", C.rounded(C.polarity(F.col("pos"), F.col("neg")), 6).alias("polarity")), rf"""
+WITH t AS (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(lower(text), '[^a-zA-Z0-9\s\x{{00A0}}]', '', 'g'), '[\s\x{{00A0}}]+') AS w FROM conversations),
+c AS (SELECT conv_id, turn, len(list_filter(w, lambda x: x IN ({", ".join(f"'{w}'" for w in M.POSITIVE)}))) AS p, len(list_filter(w, lambda x: x IN ({", ".join(f"'{w}'" for w in M.NEGATIVE)}))) AS n FROM t)
+SELECT conv_id, turn, {_r('(exp(p) - exp(n)) / (exp(p) + exp(n) + exp(1))', 6)} AS polarity FROM c""")
+_add("l04_training_log", lambda s, sf: M.loss_plateau(V.table(s, sf, "supplier").filter("s_suppkey <= 100").select(F.col("s_suppkey").cast("int").alias("epoch"), F.col("s_acctbal").alias("val_mse")), 15))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
