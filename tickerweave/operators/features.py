@@ -14,22 +14,25 @@ from tickerweave.functions.columns import rounded
 def with_ema(bars: DataFrame, close: str = "Close", span: int = 12, name: str = "EMA_12", key: str = "Ticker", order: str = "Date") -> DataFrame:
     """Adds the exponential mean y = a x + (1 - a) y', y0 = x0, a = 2 / (span + 1), in row order.
 
-    One pass per ticker: the series is gathered as an ordered array and folded
-    (a running fold over the frame would be quadratic). The result goes back to
-    the rows by position. A null leaves the mean as it is; before the first
-    value it is null.
+    One pass per ticker: its rows are gathered as an ordered array and folded
+    (a running fold over the frame would be quadratic), and laid out as rows
+    again: no join brings the means back. A null leaves the mean as it is;
+    before the first value it is null. Columns must be of orderable types.
     """
     a = 2.0 / (span + 1)
-    x = F.struct(F.col(order).alias("o"), F.col(close).cast("double").alias("x"))
-    series = bars.groupBy(key).agg(F.sort_array(F.collect_list(x)).alias("s"))
+    rest = [c for c in bars.columns if c not in (key, order)]
+    row = F.struct(F.col(order).alias("c0"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest, 1)])
+    series = bars.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("__s"))
 
     @F.pandas_udf("array<double>")
     def fold(values: pd.Series) -> pd.Series:
         return values.map(lambda v: _ema(v, a))
 
-    flat = series.select(key, "s", fold(F.transform("s", lambda r: r["x"])).alias("e"))
-    means = flat.select(key, F.explode(F.arrays_zip(F.col("s.o").alias("o"), F.col("e").alias("e"))).alias("z")).select(key, F.col("z.o").alias(order), F.col("z.e").alias(name))
-    return bars.join(means, [key, order], "left")
+    at = f"c{1 + rest.index(close)}"
+    flat = series.select(key, "__s", fold(F.transform("__s", lambda r: r[at].cast("double"))).alias("__e"))
+    rows = flat.select(key, F.explode(F.arrays_zip(F.col("__s").alias("s"), F.col("__e").alias("e"))).alias("__z"))
+    names = {c: f"c{i}" for i, c in enumerate(rest, 1)} | {order: "c0"}
+    return rows.select(*[F.col(key) if c == key else F.col(f"__z.s.{names[c]}").alias(c) for c in bars.columns], F.col("__z.e").alias(name))
 
 
 def _ema(values, a: float) -> list:
