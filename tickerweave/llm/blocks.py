@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, keyed, merge_spans, mix, parts, ranks_of, ready, windows, word_hashes
+from .common import KEY, cut, keyed, merge_spans, mix, parts, pieces, ranks_of, ready, windows, word_hashes
 
 _PACKED = "p int, docs binary, counts binary, steps binary, hashes binary"
 
@@ -98,7 +98,7 @@ def shared_blocks(docs: DataFrame, block: int = 25, least: int = 50) -> DataFram
     schema = f"p int, g long, {KEY} long, doc_id long, pos int, near binary"
 
     def around(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             seen, out = set(), []
             for key, i, text, hs in zip(*(batch.column(c) for c in (KEY, "doc_id", "text", "hits"))):
                 key = key.as_py()

@@ -87,10 +87,30 @@ def join_small(left: DataFrame, right: DataFrame, how: str, limit: int = BROADCA
     return left.join(F.broadcast(right) if right.count() <= limit else right, KEY, how)
 
 
+_USED: dict | None = None
+
+
+def alone(cache: dict) -> dict:
+    """``cache``; what the worker had remembered for another operator is given up, as workers live on from stage to stage."""
+    global _USED
+    if _USED is not cache:
+        if _USED is not None:
+            _USED.clear()
+        _USED = cache
+    return cache
+
+
+def pieces(batches, rows: int = 1024):
+    """The record batches in slices, so that only so many texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHash(dict):
     """word -> 64-bit hash of its lower case, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -107,7 +127,7 @@ _HASH = WordHash()
 def word_hashes(text: str) -> np.ndarray:
     """Hash of every word (letters and digits, case folded) of the text."""
     words = WORD.findall(text)
-    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(alone(_HASH).__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import alone, pieces, ready
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -31,7 +31,7 @@ class Row(dict):
         self.rows = rows
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         made = self[token] = xxhash.xxh3_64_intdigest(token) % self.rows
         return made
@@ -41,7 +41,7 @@ _ROWS: dict[int, Row] = {}
 
 
 def token_rows(text: str, rows: int) -> np.ndarray:
-    get = _ROWS.setdefault(rows, Row(rows)).__getitem__
+    get = alone(_ROWS.setdefault(rows, Row(rows))).__getitem__
     tokens = TOKEN.findall(text)
     return np.fromiter(map(get, tokens), np.int32, len(tokens))
 
@@ -81,7 +81,7 @@ def word_vectors(docs: DataFrame, rows: int, dims: int, window: int = 2) -> np.n
     def work(batches):
         index = np.vstack([index_vectors(rows, dims), np.zeros((1, dims), np.int8)])
         total = np.zeros((rows + 1, dims), np.int32)
-        for batch in batches:
+        for batch in pieces(batches):
             contexts([token_rows(t, rows) for t in batch.column(0).to_pylist() if t], index, total, window)
         block = 64  # rows go out in blocks
         for b in range(0, rows, block):
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_labelled:
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def work(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             v = [pool(t, shared.value).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(batch.column("quality").to_pylist(), pa.int32()), pa.array(v, pa.binary())], ["doc_id", "quality", "v"])
 
@@ -218,7 +218,7 @@ def quality(
 
     def work(batches):
         vectors, net = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             x = np.stack([pool(t, vectors) for t in texts]).astype(np.float64) if texts else np.zeros((0, dims))
             p = np.where([bool(t) for t in texts], net.predict(x), 0.0) if texts else np.zeros(0)

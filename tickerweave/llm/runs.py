@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, WORD, add_key, cut, join_small, keyed, merge_spans, mix, parts, ranks_of, ready, windows, word_hashes
+from .common import KEY, WORD, add_key, cut, join_small, keyed, merge_spans, mix, parts, pieces, ranks_of, ready, windows, word_hashes
 
 
 def segments(h: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ def shared_runs(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
     groups = parts(spark)
 
     def anchors(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             keys, found = batch.column(0).to_numpy(), []
             for text in batch.column(1).to_pylist():
                 found.append(segments(word_hashes(text), least, gram)[0])
@@ -170,7 +170,7 @@ def shared_runs(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
     arrow = pa.schema([("p", pa.int32()), ("a", pa.int64()), (KEY, pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
     def gather(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out: list = [[] for _ in arrow]
             for key, i, text, have in zip(*(batch.column(c) for c in (KEY, "doc_id", "text", "anchors"))):
                 key, i = key.as_py(), i.as_py()

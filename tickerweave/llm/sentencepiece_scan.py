@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, ready
+from .common import KEY, alone, keyed, pieces, ready
 from .unigram import MODEL, SPACE, Unigram, loaded, vocabulary
 
 LOW = -1e300
@@ -130,8 +130,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 65_536) -> Da
 
     def whole(batches):
         unigram, _, ids = loaded(shared)
-        get = ids.__getitem__
-        for batch in batches:
+        get = alone(ids).__getitem__
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             made = [b"".join(map(get, unigram.units(t))) for t in texts]
             same = [unigram.decode(memoryview(b).cast("i")) == t.replace(SPACE, " ") for b, t in zip(made, texts)]
@@ -175,7 +175,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 65_536) -> Da
         return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "blob": [blob], "md5": [hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()]})
 
     def unpack(batches):
-        for batch in batches:
+        for batch in pieces(batches, 64):
             blobs = batch.column("blob").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(b) // 4 for b in blobs], pa.int64()), _list(blobs), batch.column("round_trip")],

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import alone, ready
 from .unigram import MODEL, loaded, vocabulary
 
 
@@ -17,7 +17,7 @@ def count_column(spark, text: Column, model: str = MODEL) -> Column:
     @F.pandas_udf("long")
     def count(text: pd.Series) -> pd.Series:
         unigram, counts, _ = loaded(shared)
-        units, get = unigram.units, counts.__getitem__
+        units, get = unigram.units, alone(counts).__getitem__
         return pd.Series([sum(map(get, units(t))) if t else 0 for t in text], dtype="int64")
 
     return count(text.cast("string"))

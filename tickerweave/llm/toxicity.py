@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import alone, ready
 
 FILL, INSULT, THREAT, PERSON, GROUP, NOT, SAYS, COMMA, STOP = range(9)
 #: Classes that only the transducers write: reported, targeted and negated forms.
@@ -134,9 +134,8 @@ class Lexicon(dict):
         self.fixed = dict(self)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
-            self.update(self.fixed)
         made = self[word] = self.fixed.get(word, INSULT if self.stems and word.startswith(self.stems) else FILL)
         return made
 
@@ -204,6 +203,7 @@ def score_udf(stems: list[str]):
     def score(text: pd.Series) -> pd.DataFrame:
         if not made:
             made["x"] = Lexicon(stems), grammar()
+        alone(made["x"][0])
         got = [clause_scores(t, *made["x"]) if t else [] for t in text]
         return pd.DataFrame({"clauses": [len(x) for x in got], "top": [max(x, default=0.0) for x in got], "score": [float(sum(x)) for x in got]})
 

@@ -140,14 +140,13 @@ class Unigram:
 class Counts(dict):
     """unit -> number of pieces, for up to ``most`` units."""
 
-    def __init__(self, model: Unigram, most: int = 400_000):
-        super().__init__({"": 0})
+    def __init__(self, model: Unigram, most: int = 300_000):
+        super().__init__()
         self.model, self.most = model, most
 
     def __missing__(self, unit: str) -> int:
         if len(self) >= self.most:
             self.clear()
-            self[""] = 0
         made = self[unit] = self.model.count(unit)
         return made
 
@@ -155,14 +154,13 @@ class Counts(dict):
 class Ids(dict):
     """unit -> its ids as int32 bytes, for up to ``most`` units."""
 
-    def __init__(self, model: Unigram, most: int = 300_000):
-        super().__init__({"": b""})
+    def __init__(self, model: Unigram, most: int = 200_000):
+        super().__init__()
         self.model, self.most = model, most
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-            self[""] = b""
         made = self[unit] = np.array(self.model.word(unit)[1], np.int32).tobytes()
         return made
 
