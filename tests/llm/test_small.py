@@ -55,6 +55,17 @@ def test_odd_rows_and_empty_tables(spark):
     assert set(none.values()) == {0}
 
 
+def test_clashing_columns_come_through(spark):
+    names = ["__key", "__n", "__s", "__tox", "__cuts", "__rank", "__keep", "keep", "comp", "n", "a", "score"]
+    rows = [(i, f"text of row {i}", "en", "a", 5, *[f"{c}{i}" for c in names]) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for got in (toxicity.reject_toxic(spark, docs, None), minhash.one_of_each(docs), runs.cut_copies(spark, docs), mixing.mix_sources(docs)):
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == sorted(rows)
+    for op in all_ops(spark, docs, labels_of(spark)).values():
+        op.collect()
+
+
 # --- toxicity ---------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ null doc_id is a value like any other. ``KEY`` is a 64-bit hash of the pair.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import shutil
@@ -69,6 +70,20 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def shielded(work):
+    """For functions that give the rows of ``docs`` back: its columns whose names begin like our own ('__') are renamed meanwhile."""
+
+    @functools.wraps(work)
+    def run(*args, **kwargs):
+        at = next(i for i, x in enumerate(args) if isinstance(x, DataFrame))
+        names = args[at].columns
+        inside = {c: f"kept{i}{c}" for i, c in enumerate(names) if c.startswith("__")}
+        got = work(*args[:at], args[at].withColumnsRenamed(inside), *args[at + 1 :], **kwargs)
+        return got.toDF(*names)
+
+    return run
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(KEY, doc_id, text) of every row; whatever other columns there are is left out."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

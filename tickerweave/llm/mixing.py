@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shielded
 
 
 def fit_counts(lengths: list[int], counts: list[int], budget: int, window: int = 4096) -> list[int]:
@@ -74,6 +74,7 @@ def knapsack(size: list[int], left: list[int], goal: int) -> list[tuple[int, int
     return sorted(found.items())
 
 
+@shielded
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that make up the mixture, with all its columns.
 

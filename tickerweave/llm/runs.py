@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, WORD, add_key, cut, join_small, keyed, merge_spans, mix, parts, pieces, ranks_of, ready, windows, word_hashes
+from .common import KEY, WORD, add_key, cut, join_small, keyed, merge_spans, mix, parts, pieces, ranks_of, ready, shielded, windows, word_hashes
 
 
 def segments(h: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,6 +231,7 @@ def run_repeats(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
     return shared_runs(docs, least, gram).select("doc_id", "kind", "start", "end")
 
 
+@shielded
 def cut_copies(spark: SparkSession, docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
     """``docs`` with the 'copy' stretches of ``run_repeats`` cut out of the texts, all columns and rows kept.
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alone, ready
+from .common import alone, ready, shielded
 
 FILL, INSULT, THREAT, PERSON, GROUP, NOT, SAYS, COMMA, STOP = range(9)
 #: Classes that only the transducers write: reported, targeted and negated forms.
@@ -225,6 +225,7 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     return got.select("doc_id", "s.clauses", "s.top", "s.score", (F.col("s.score") >= threshold).alias("toxic"))
 
 
+@shielded
 def reject_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame | None, threshold: float = 2.0, **learn) -> DataFrame:
     """``docs`` without the rows that ``toxicity`` rejects; all columns and all other rows stay, null texts among them."""
     ready(spark)
