@@ -7,6 +7,7 @@ null doc_id is a value like any other. ``KEY`` is a 64-bit hash of the pair.
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import re
@@ -48,11 +49,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """Results read these tables lazily, so they go when the driver's process ends."""
+    for path in _WRITTEN:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree(re.sub(r"^file:/+", "/", path), ignore_errors=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tw-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._tw_path = path
     return made
