@@ -36,10 +36,10 @@ def with_ema(bars: DataFrame, close: str = "Close", span: int = 12, name: str =
 
 
 def _ema(values, a: float) -> list:
-    out, y = [], None
-    for x in values:
-        if x is not None and not np.isnan(x):
-            y = float(x) if y is None else a * float(x) + (1 - a) * y
+    out, y, b = [], None, 1 - a
+    for x in values.tolist() if isinstance(values, np.ndarray) else values:
+        if x is not None and x == x:
+            y = x if y is None else a * x + b * y
         out.append(y)
     return out
 
