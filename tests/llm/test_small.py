@@ -298,6 +298,14 @@ def test_edit_distance_and_groups(spark):
         a = "".join(rng.choice("abcé") for _ in range(rng.randrange(0, 25)))
         b = "".join(rng.choice("abcé") for _ in range(rng.randrange(0, 25)))
         assert edit_embedding.edit_distance(a, b) == distance(a, b)
+    for size in (4100, 6000):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(size))
+        b = "".join(c for c in a if rng.random() > 0.01) + "xyz"
+        full = edit_embedding.edit_distance(a, b)
+        quick = edit_embedding._by_diagonals
+        edit_embedding._by_diagonals = lambda *_: None
+        assert full == edit_embedding.edit_distance(a, b) and quick(a, b) == full
+        edit_embedding._by_diagonals = quick
     rows = corpus(13)
     near = [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if edit_embedding.edit_distance(a[1], b[1]) <= 0.15 * max(len(a[1]), len(b[1]))]
     want = linked(len(rows), near)
