@@ -313,9 +313,9 @@ def test_edit_distance_and_groups(spark):
     pairs = [(a, b) for a, b in near if any(a in g and b in g for g in grouped(got))]
     assert len(pairs) >= 0.9 * len(near)
     assert all(any(g <= w for w in want) for g in grouped(got))
+    texts = dict(rows)
     for r in got:
-        if r.doc_id == r.group_id:
-            assert r.distance == 0
+        assert r.distance == edit_embedding.edit_distance(texts[r.doc_id], texts[r.near_id]) <= 0.15 * max(len(texts[r.doc_id]), len(texts[r.near_id]))
 
 
 def repeats(rows, least):
