@@ -8,6 +8,7 @@ null doc_id is a value like any other. ``KEY`` is a 64-bit hash of the pair.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import os
 import re
@@ -17,6 +18,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,11 +130,23 @@ def alone(cache: dict) -> dict:
     return cache
 
 
+def rest() -> None:
+    """At a task's end: gives remembered words and free memory back, as idle workers live on beside the next stage's."""
+    if _USED is not None:
+        _USED.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def pieces(batches, rows: int = 1024):
-    """The record batches in slices, so that only so many texts are Python strings at a time."""
+    """The record batches in slices, so that only so many texts are Python strings at a time; at the end the worker rests."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    rest()
 
 
 class WordHash(dict):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, WORD, add_key, cut, join_small, keyed, merge_spans, mix, parts, pieces, ranks_of, ready, shielded, windows, word_hashes
+from .common import KEY, WORD, add_key, cut, join_small, keyed, merge_spans, mix, parts, pieces, ranks_of, ready, rest, shielded, windows, word_hashes
 
 
 def segments(h: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,7 +212,9 @@ def shared_runs(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
                 last = np.append(first[1:], True)
                 rr = r[first]
                 out.append(pd.DataFrame({KEY: key[rr], "doc_id": pd.array([ids[i] for i in rr], "Int64"), "kind": kind, "start": (start[rr] + x[first]).astype(np.int32), "end": (start[rr] + x[last] + least).astype(np.int32)}))
-        return pa.Table.from_pandas(pd.concat(out), schema=result, preserve_index=False) if out else result.empty_table()
+        made = pa.Table.from_pandas(pd.concat(out), schema=result, preserve_index=False) if out else result.empty_table()
+        rest()
+        return made
 
     spans = rows.mapInArrow(gather, schema).groupBy("p").applyInArrow(index, f"{KEY} long, doc_id long, kind string, start int, end int")
     return merge_spans(spans)

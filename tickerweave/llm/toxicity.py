@@ -15,12 +15,13 @@ in clean ones become arcs of the insult transducer.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alone, ready, shielded
+from .common import alone, ready, rest, shielded
 
 FILL, INSULT, THREAT, PERSON, GROUP, NOT, SAYS, COMMA, STOP = range(9)
 #: Classes that only the transducers write: reported, targeted and negated forms.
@@ -197,15 +198,14 @@ def learn_stems(
 
 def score_udf(stems: list[str]):
     """Column function text -> struct(clauses, top, score)."""
-    made: dict = {}
 
     @F.pandas_udf("clauses int, top double, score double")
-    def score(text: pd.Series) -> pd.DataFrame:
-        if not made:
-            made["x"] = Lexicon(stems), grammar()
-        alone(made["x"][0])
-        got = [clause_scores(t, *made["x"]) if t else [] for t in text]
-        return pd.DataFrame({"clauses": [len(x) for x in got], "top": [max(x, default=0.0) for x in got], "score": [float(sum(x)) for x in got]})
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lexicon, table = alone(Lexicon(stems)), grammar()
+        for text in batches:
+            got = [clause_scores(t, lexicon, table) if t else [] for t in text]
+            yield pd.DataFrame({"clauses": [len(x) for x in got], "top": [max(x, default=0.0) for x in got], "score": [float(sum(x)) for x in got]})
+        rest()
 
     return score
 

@@ -154,7 +154,7 @@ class Counts(dict):
 class Ids(dict):
     """unit -> its ids as int32 bytes, for up to ``most`` units."""
 
-    def __init__(self, model: Unigram, most: int = 200_000):
+    def __init__(self, model: Unigram, most: int = 120_000):
         super().__init__()
         self.model, self.most = model, most
 
