@@ -318,6 +318,31 @@ def test_edit_distance_and_groups(spark):
         assert r.distance == edit_embedding.edit_distance(texts[r.doc_id], texts[r.near_id]) <= 0.15 * max(len(texts[r.doc_id]), len(texts[r.near_id]))
 
 
+def scattered(rng, text, share, by_words):
+    """The text with about ``share`` of its characters edited, in words or one by one."""
+    if by_words:
+        return " ".join("".join(rng.choice("abcdefghij") for _ in w) if rng.random() < share else w for w in text.split())
+    return "".join(rng.choice(["", rng.choice("abcdefghij"), c + rng.choice("abcdefghij")]) if rng.random() < share else c for c in text)
+
+
+@pytest.mark.parametrize("by_words", [False, True])
+@pytest.mark.parametrize("n", [12, 20, 40, 150, 400])
+def test_edit_candidates_up_to_the_limit(n, by_words):
+    rng, found, high = random.Random(37), [], []
+    while len(high) < 40:
+        a = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+        b = scattered(rng, a, rng.uniform(0, 0.2), by_words)
+        share = edit_embedding.edit_distance(a, b) / max(len(a), len(b))
+        if 0 < share <= 0.15:
+            ids, h = edit_embedding.fingerprints([a, b], 12, 2)
+            hit = bool(set(h[ids == 0].tolist()) & set(h[ids == 1].tolist()))
+            found.append(hit)
+            if share > 0.1:
+                high.append(hit)
+    assert np.mean(found) >= 0.9
+    assert np.mean(high) >= 0.9
+
+
 def repeats(rows, least):
     """Marked words by (doc_id, kind), by counting windows."""
     rows = sorted(dict.fromkeys(rows))
