@@ -282,6 +282,23 @@ def test_minhash_against_brute_force(spark):
     assert set(range(len(rows))) - set().union(*grouped(got)) <= set(kept)
 
 
+def test_minhash_finds_pairs_at_the_threshold():
+    import inspect
+
+    p = {k: v.default for k, v in inspect.signature(minhash.near_groups).parameters.items() if k != "docs"}
+    assert p["recall"] >= 0.9
+    rng, plan = np.random.default_rng(41), minhash.banding(p["containment"], p["min_ratio"], p["recall"])
+    for lo, hi in ((140, 200), (150, 200), (200, 200)):
+        at = int(np.log(hi) / np.log(minhash.GROWTH) + 1e-9) - int(np.log(lo) / np.log(minhash.GROWTH) + 1e-9)
+        rows, bands = plan[at]
+        hits = 0
+        for _ in range(300):
+            s = rng.integers(0, 1 << 63, hi + lo - lo // 2, dtype=np.uint64)
+            a, b = (minhash.signature(x)[: rows * bands].reshape(bands, rows) for x in (s[:hi], s[hi - lo // 2 :]))
+            hits += bool((a == b).all(axis=1).any())
+        assert hits >= 0.87 * 300, (lo, hi, hits)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
