@@ -222,6 +222,21 @@ def test_mixing_meets_budgets(spark):
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in mixing.mix_sources(docs.repartition(7), {"a": 0.5, "b": 0.5}).collect())
 
 
+def test_mixing_is_not_bound_by_the_smallest_source():
+    def shares(tokens, **more):
+        return mixing.budgets(tokens, {s: t**0.5 for s, t in tokens.items()}, **more)
+
+    even = {f"s{i}": 200_000 + i for i in range(20)}
+    tiny = shares(even | {"": 100})
+    assert tiny[""] == 100 and sum(tiny.values()) >= 0.95 * sum(even.values())
+    hot = even | {"hot": 10_000_000}
+    assert all(shares(hot)[s] >= 0.99 * t for s, t in even.items())
+    whole = shares(hot | {"": 100}, total=12_000_000)
+    assert sum(whole.values()) == 12_000_000 and whole[""] == 100 and all(whole[s] == t for s, t in even.items())
+    assert shares(hot, total=10**9) == hot
+    assert mixing.budgets(hot, hot) == hot
+
+
 # --- duplicates -------------------------------------------------------------
 
 

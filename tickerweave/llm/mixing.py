@@ -2,7 +2,7 @@
 
 Documents are counted by (source, exact token length); tokens here are the
 maximal runs of non-space characters. A source's budget is its weight's share
-of the largest total that every source can fill. Each length first gives its
+of the total, and all it has where that is less (``budgets``). Each length first gives its
 proportional whole number of documents; what the budget still lacks is filled
 from the leftovers, longest first, down to a small rest, and the rest by
 bounded-knapsack dynamic programming over the lengths' leftover counts, which
@@ -74,13 +74,44 @@ def knapsack(size: list[int], left: list[int], goal: int) -> list[tuple[int, int
     return sorted(found.items())
 
 
+def budgets(tokens: dict[str, int], want: dict[str, float], total: int | None = None, exact: bool = False) -> dict[str, int]:
+    """Tokens to take of each source: shares by ``want``, none above what the source has.
+
+    With a ``total``, what a source cannot fill goes to the others by their
+    weights. Without one, all sources fill their shares where ``exact``; else
+    the mixture is the largest in which the sources that fill their shares
+    hold at least half of the weights, and the others give all they have.
+    """
+    left = {s: w for s, w in want.items() if w > 0 and tokens[s] > 0}
+    made = dict.fromkeys(want, 0)
+    if not left:
+        return made
+    full = sorted(left, key=lambda s: (tokens[s] / left[s], s))
+    if total is None:
+        share, level = sum(left.values()), tokens[full[0]] / left[full[0]]
+        held = share
+        for s in () if exact else full:
+            if held < 0.5 * share * (1 - 1e-9):
+                break
+            level = tokens[s] / left[s]
+            held -= left[s]
+        return made | {s: min(tokens[s], int(round(level * w))) for s, w in left.items()}
+    rest, share = total, sum(left.values())
+    for s in full:
+        made[s] = min(tokens[s], int(round(rest * left[s] / share)))
+        rest, share = rest - made[s], share - left[s]
+    return made
+
+
 @shielded
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = 42, total: int | None = None) -> DataFrame:
     """The rows of ``docs`` that make up the mixture, with all its columns.
 
     ``weights``: target share of each source's tokens (sources not named get
     none). Without them the share is proportional to the source's own tokens
     to the power ``alpha`` (1 keeps everything, 0 makes all sources equal).
+    ``total``: tokens of the mixture; without it, explicit weights are met
+    exactly by the largest mixture that can, and the others as ``budgets`` says.
     A null source is the source ''. Null, empty and blank texts have no tokens:
     they cost no budget and stay, whatever their source. Repeated rows are
     documents each; ties of the hash go by doc_id, then by text (rows alike in
@@ -92,10 +123,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     hist = cut(rows.filter("__n > 0").groupBy("__s", "__n").agg(F.count("*").alias("c")))
     tokens = {r["__s"]: int(r.t) for r in hist.groupBy("__s").agg(F.sum(F.col("__n") * F.col("c")).alias("t")).collect()}
     want = {s: float(weights.get(s, 0.0)) for s in tokens} if weights is not None else {s: t**alpha for s, t in tokens.items()}
-    share = sum(want.values())
-    want = {s: w / share for s, w in want.items()} if share > 0 else {}
-    whole = min((tokens[s] / w for s, w in want.items() if w > 0), default=0.0)
-    budget = {s: int(round(whole * w)) for s, w in want.items()}
+    budget = budgets(tokens, want, total, exact=weights is not None)
 
     def fit(pdf):
         s = pdf["__s"].iloc[0]
