@@ -199,3 +199,10 @@ def test_wide_to_long(spark):
     wide = spark.createDataFrame([(dt.date(2024, 1, 1), 1.234, None, 5, None)], "Date date, `A.NS|Open` double, `B.NS|Open` double, `A.NS|Volume` long, `B.NS|Volume` long")
     got = R.wide_to_long(wide, ["A.NS", "B.NS"], ["Open", "Volume"]).collect()
     assert [(r.Ticker, r.Open, r.Volume) for r in got] == [("A", 1.23, 5)]
+
+
+def test_training_log_reads_all_suppliers(spark, tmp_path):
+    from tickerweave.plans import catalog
+
+    spark.createDataFrame([(i, 1000.0 - i) for i in range(1, 151)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert catalog.queries()["l04_training_log"](spark, str(tmp_path)).count() == 150
