@@ -443,18 +443,49 @@ def test_graph_recall_and_verification(spark):
     x = rng.normal(size=(900, 16))
     x[300:600] = x[:300] + rng.normal(size=(300, 16)) * 0.05
     x[600:700] = x[0] + rng.normal(size=(100, 16)) * 0.03
+    x[700:760] = x[1]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     odd = [(5000, None), (5001, []), (5002, [0.0] * 16), (None, rows[0][1]), (5003, [1.0, 2.0]), rows[3], (5004, [float("nan")] * 16)]
-    e = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    e = spark.createDataFrame([(*r, "x", 1) for r in rows + odd], "vec_id long, embedding array<double>, v string, links int")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)))}
-    pairs = graph.near_vectors(e, shard=300)
-    got = {(r.vec_a, r.vec_b) for r in pairs.collect()}
-    assert got <= true and len(got) >= 0.97 * len(true)
-    assert graph.audit(e, pairs, queries=50) >= 0.9
+    near = unit @ unit.T >= 0.95
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)))}
+    group = {i: min(g) for g in linked(900, true) for i in g}
+    for shard in (300, 60):
+        got = {r.vec_id: r for r in graph.near_vectors(e, shard=shard).collect()}
+        assert set(got) == set(range(900)) | {5003} and got[5003].links == 0
+        assert sum(got[i].links for i in range(900)) >= 0.99 * 2 * len(true)
+        assert all(got[i].links <= near[i].sum() - 1 for i in range(900))
+        assert sum(got[i].group_id == group.get(i, i) for i in range(900)) >= 890
     assert graph.near_vectors(e.limit(0)).count() == 0
 
 
+def test_graph_search_crosses_shards(spark):
+    """Pairs at a cosine just above the threshold, over many small shards, the audit off."""
+    rng = np.random.default_rng(43)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(1500, 32))
+    side -= (side * x[:1500]).sum(axis=1, keepdims=True) * x[:1500]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[1500:] = 0.955 * x[:1500] + (1 - 0.955**2) ** 0.5 * side
+    e = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.group_id for r in graph.near_vectors(e, shard=150, audited=0).collect()}
+    assert sum(got[i + 1500] == got[i] for i in range(1500)) >= 0.93 * 1500
+    classes = e.selectExpr("vec_id", "32 dims", "embedding v")
+    points = classes.select("vec_id", "v")
+    pairs = graph.near_pairs(classes, shard=150, probes=1, beam=4)
+    assert graph.audit_points(points, pairs, 0.95, 256) >= 0.95
+
+
+def test_centres_in_two_levels():
+    rng = np.random.default_rng(5)
+    c, x = rng.normal(size=(300, 8)), rng.normal(size=(200, 8))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    flat, deep = graph.Centres(c).nearest(x, 3), graph.Centres(c, flat=10).nearest(x, 3)
+    assert np.mean(flat == deep) >= 0.9
+
+
 def test_quality_on_held_out_rows(spark):
     rng, rows, labels = random.Random(31), [], []
     for i in range(500):

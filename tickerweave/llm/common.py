@@ -208,8 +208,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:
             both = both.filter("b <= a")
-        w = Window.partitionBy("a")
-        least = both.withColumn("m", F.least(F.min("b").over(w), F.col("a")))
+        # aggregated and joined back, not a window: a node that very many edges have is split by the join
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.join(least, "a")
         if large:
             got = least.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
