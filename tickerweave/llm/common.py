@@ -15,9 +15,11 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -231,41 +233,127 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias(KEY), F.col("b").alias("comp")).union(now.select(F.col("b").alias(KEY), F.col("b").alias("comp")).distinct())
 
 
-def agreed(buckets: DataFrame, verify) -> DataFrame:
-    """(KEY, comp) from buckets (bucket, KEY): components of all verified pairs that share a bucket.
+def sifted(pairs: DataFrame, sigs: DataFrame, close) -> DataFrame:
+    """The pairs (a, b) whose signatures ``close`` lets pass."""
+
+    @F.pandas_udf("boolean")
+    def passes(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(close(_matrix(x), _matrix(y)), dtype=bool)
+
+    both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
+    return both.filter(passes("sa", "sb")).select("a", "b")
+
+
+def _matrix(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+
 
-    No (bucket, KEY) comes twice.
+def across(mixed: DataFrame, sigs: DataFrame, close, chunk: int = 1024) -> DataFrame:
+    """(a, b): of each bucket in (bucket, KEY, comp) the pairs of different components whose signatures ``close`` lets pass.
 
-    ``verify`` takes and returns pairs (a, b). First every member is held
-    against its bucket's smallest key. Then, in buckets whose members are
-    still in different components, every pair across components is verified.
-    Pairs within a component can change nothing, so the components are those
-    of all verified pairs, while a bucket of n true copies costs n checks.
+    Pairs are compared as rows of arrays and only those that pass are ever
+    written. A bucket of more than ``chunk`` members is split into chunks, each
+    pair of which is a group of its own, so no task holds a whole hot bucket.
     """
-    w = Window.partitionBy("bucket")
-    shared = cut(buckets.withColumn("first", F.min(KEY).over(w)).withColumn("n", F.count("*").over(w)).filter("n > 1").drop("n"))
-    stars = shared.filter(F.col(KEY) != F.col("first")).select(F.col("first").alias("a"), F.col(KEY).alias("b")).distinct()
-    good = cut(verify(stars))
-    comp = cut(components(good))
-    inside = shared.join(comp, KEY, "left").select("bucket", KEY, F.coalesce("comp", KEY).alias("comp"))
-    mixed = cut(
-        inside.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo <> hi").select("bucket", KEY, "comp")
-    )
-    left, right = mixed.toDF("bucket", "a", "ca"), mixed.toDF("bucket", "b", "cb")
-    rest = (
-        left.join(right, "bucket")
-        .filter("ca <> cb and a < b")
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = cut(verify(rest))
-    if more.isEmpty():
-        done = comp
-    else:
-        done = cut(components(good.union(more)))
-        drop(comp)
-    drop(shared, mixed, good, more)
+    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    rows = mixed.join(sizes, "bucket").withColumn("c", F.expr(f"cast(pmod(xxhash64({KEY}), chunks) as int)"))
+    rows = rows.select("bucket", KEY, "comp", "c", F.explode(F.expr("sequence(0, chunks - 1)")).alias("o"))
+    rows = rows.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", KEY, "comp").join(sigs.toDF(KEY, "sig"), KEY)
+
+    def compare(batches):
+        have: list = []
+        for batch in batches:
+            have.append(batch)
+            if sum(x.num_rows for x in have) >= 16_384:
+                table = pa.Table.from_batches(have)
+                end = _last_group(table)
+                if end:
+                    yield from _cross(table.slice(0, end), close)
+                have = table.slice(end).to_batches()
+        if have:
+            yield from _cross(pa.Table.from_batches(have), close)
+
+    sorted_ = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return sorted_.mapInArrow(compare, "a long, b long")
+
+
+def _group_starts(table: pa.Table) -> np.ndarray:
+    cols = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+    change = np.zeros(max(len(cols[0]) - 1, 0), bool)
+    for c in cols:
+        change |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1])
+
+
+def _last_group(table: pa.Table) -> int:
+    return int(_group_starts(table)[-1])
+
+
+def _cross(table: pa.Table, close) -> Iterator[pa.RecordBatch]:
+    n = table.num_rows
+    if not n:
+        return
+    starts = _group_starts(table)
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    key, comp, c = (table.column(x).to_numpy() for x in (KEY, "comp", "c"))
+    inner = table.column("i").to_numpy() == table.column("j").to_numpy()
+    sig = _matrix(table.column("sig").to_pylist())
+    row = np.arange(n)
+    for d in range(1, int((end - row).max())):  # all pairs (x, x + d) of all groups at once
+        row = row[row + d < end[row]]
+        x = row[(comp[row] != comp[row + d]) & (inner[row] | (c[row] != c[row + d]))]
+        for at in range(0, len(x), 65_536):
+            p = x[at : at + 65_536]
+            p = p[close(sig[p], sig[p + d])]
+            if len(p):
+                a, b = np.minimum(key[p], key[p + d]), np.maximum(key[p], key[p + d])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def agreed(buckets: DataFrame, verify, sigs: DataFrame, close) -> DataFrame:
+    """(KEY, comp) from buckets (bucket, KEY): components of all verified pairs that share a bucket.
+
+    No (bucket, KEY) comes twice. ``sigs`` (KEY, sig) has a signature of one
+    length for every key, and ``close`` says of two arrays of them which pairs
+    may be near at all; ``verify`` takes and returns pairs (a, b).
+
+    First every member is held against its bucket's smallest key, then, of
+    buckets with members in different components, every member outside the
+    smallest component against the smallest key out there. What is still in
+    different components is compared by signature, all with all, and verified
+    where it passes. Pairs within a component can change nothing, so the
+    components are those of all such pairs, while a bucket of n true copies
+    costs n checks.
+    """
+    placed = buckets.repartition("bucket")  # one exchange for both sides
+    firsts = placed.groupBy("bucket").agg(F.min(KEY).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = cut(placed.join(firsts, "bucket"))
+    stars = cut(shared.filter(F.col(KEY) != F.col("first")).select(F.col("first").alias("a"), F.col(KEY).alias("b")).distinct())
+    good = cut(verify(sifted(stars, sigs, close)))
+
+    def left_apart(good):
+        comp = cut(components(good))
+        inside = shared.select("bucket", KEY).join(comp, KEY, "left").select("bucket", KEY, F.coalesce("comp", KEY).alias("comp"))
+        ends = inside.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "lo")
+        return comp, cut(inside.join(ends, "bucket"))
+
+    comp, mixed = left_apart(good)
+    out = mixed.filter("comp <> lo")
+    second = out.groupBy("bucket").agg(F.min(F.struct(KEY, "comp")).alias("s"))
+    more = out.join(second, "bucket").filter("comp <> s.comp").select(F.least(F.col(KEY), F.col("s")[KEY]).alias("a"), F.greatest(F.col(KEY), F.col("s")[KEY]).alias("b"))
+    more = cut(more.distinct().join(stars, ["a", "b"], "left_anti"))
+    found = cut(verify(sifted(more, sigs, close)))
+    if not found.isEmpty():
+        drop(comp, mixed)
+        good = cut(good.union(found))
+        comp, mixed = left_apart(good)
+    tried = stars.union(more)
+    rest = cut(across(mixed.drop("lo"), sigs, close).distinct().join(tried, ["a", "b"], "left_anti"))
+    found = cut(verify(rest))
+    done = comp
+    if not found.isEmpty():
+        done = cut(components(good.union(found)))
+    drop(shared, mixed)
     return done
 
 
