@@ -276,16 +276,29 @@ def grouped(rows):
     return {frozenset(x) for x in made.values()}
 
 
-def test_minhash_against_brute_force(spark):
-    rows = corpus() + [(900 + i, "only two words" if i else "only two") for i in range(3)]
-    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+def near_sets(rows, containment=0.5, min_ratio=0.7, inside=0.8, least=20):
+    """Groups of op3 by comparing all with all."""
     sets = [set(minhash.shingles(t).tolist()) for _, t in rows]
     near = []
     for a, b in itertools.combinations(range(len(rows)), 2):
         lo, hi = sorted((len(sets[a]), len(sets[b])))
-        if len(sets[a] & sets[b]) >= 0.5 * lo and lo >= 0.7 * hi:
+        if lo and len(sets[a] & sets[b]) >= containment * lo and lo >= min_ratio * hi:
             near.append((a, b))
-    want = linked(len(rows), near)
+    group = {i: i for i in range(len(rows))}
+    for g in linked(len(rows), near):
+        group.update(dict.fromkeys(g, min(g)))
+    more = []
+    for q in {max((i for i in group if group[i] == g), key=lambda i: len(sets[i])) for g in set(group.values())}:
+        held = [x for x in group if len(sets[q]) < min_ratio * len(sets[x]) and len(sets[q] & sets[x]) >= inside * len(sets[q])] if len(sets[q]) >= least else []
+        if held:
+            more.append((q, max(held, key=lambda x: len(sets[x]))))
+    return near, more, linked(len(rows), near + more)
+
+
+def test_minhash_against_brute_force(spark):
+    rows = corpus() + [(900 + i, "only two words" if i else "only two") for i in range(3)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    near, more, want = near_sets(rows)
     docs = table(spark, rows + [rows[0]])
     got = minhash.near_duplicates(docs).collect()
     assert len(want & grouped(got)) >= 0.9 * len(want)
@@ -297,6 +310,27 @@ def test_minhash_against_brute_force(spark):
     assert set(range(len(rows))) - set().union(*grouped(got)) <= set(kept)
 
 
+@pytest.mark.parametrize("filtered", [True, False])
+def test_minhash_finds_short_texts_inside_long_ones(spark, monkeypatch, filtered):
+    """Sizes of every ratio up to 60; a passage that two long texts share does not make them one group."""
+    if not filtered:
+        monkeypatch.setattr(minhash, "FILTER_PROBES", 0)
+    rng, rows = random.Random(53), []
+    for k in range(60):
+        w = words(rng, 30 + rng.randrange(60), 9000)
+        rows.append((2 * k, w))
+        rows.append((2 * k + 1, f"{words(rng, 60 * rng.randrange(1, 30), 9000)} {edited(rng, w, 0.02)} {words(rng, 40, 9000)}"))
+    shared = words(rng, 60, 9000)
+    rows += [(120, shared), (121, f"{shared} {words(rng, 300, 9000)}"), (122, f"{words(rng, 400, 9000)} {shared}")]
+    near, more, want = near_sets(rows)
+    got = grouped(minhash.near_duplicates(table(spark, rows)).collect())
+    assert not near and len(more) >= 50
+    assert len(want & got) >= 0.95 * len(want) and all(any(g <= w for w in want) for g in got)
+    assert frozenset({120, 122}) in got
+    kept = {r.doc_id for r in minhash.one_of_each(table(spark, rows)).collect()}
+    assert {121, 122} <= kept and 120 not in kept and all(2 * k + 1 in kept for k in range(60))
+
+
 def test_minhash_finds_pairs_at_the_threshold():
     import inspect
 
@@ -346,8 +380,31 @@ def test_edit_distance_and_groups(spark):
     assert len(pairs) >= 0.9 * len(near)
     assert all(any(g <= w for w in want) for g in grouped(got))
     texts = dict(rows)
-    for r in got:
-        assert r.distance == edit_embedding.edit_distance(texts[r.doc_id], texts[r.near_id]) <= 0.15 * max(len(texts[r.doc_id]), len(texts[r.near_id]))
+    assert all(r.group_id == min(g) for g in grouped(got) for r in got if r.doc_id in g)
+    assert all(r.distance == edit_embedding.edit_distance(texts[r.doc_id], texts[r.group_id]) for r in got)
+
+
+def test_edit_filter_is_a_lower_bound():
+    rng = random.Random(59)
+    for _ in range(200):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 300)))
+        b = scattered(rng, a, rng.uniform(0, 0.5), rng.random() < 0.5)
+        k = edit_embedding.edit_distance(a, b)
+        assert not edit_embedding.few_in_common(a, b, k)
+    a, b = words(rng, 200, 9000), words(rng, 200, 9000)
+    assert edit_embedding.few_in_common(a, "x" * len(a), len(a) // 7) and edit_embedding.edit_distance(a, b) > 0
+
+
+def test_edit_groups_of_long_texts_and_shared_passages(spark):
+    """A text over 65,536 characters with a near copy; many texts that share a passage are no group."""
+    rng, passage = random.Random(61), words(random.Random(67), 60, 9000)
+    long = words(rng, 16_000, 9000)
+    rows = [(0, long), (1, edited(rng, long, 0.01)), (2, long[:66_000])]
+    rows += [(i, f"{words(rng, 120, 9000)} {passage} {words(rng, 120, 9000)}") for i in range(3, 60)]
+    base = words(rng, 150, 9000)
+    rows += [(i, edited(rng, base, 0.02)) for i in range(60, 120)]
+    got = grouped(edit_embedding.edit_groups(table(spark, rows)).collect())
+    assert got == {frozenset({0, 1}), frozenset(range(60, 120))}
 
 
 def scattered(rng, text, share, by_words):
@@ -361,13 +418,14 @@ def scattered(rng, text, share, by_words):
 @pytest.mark.parametrize("n", [12, 20, 40, 150, 400])
 def test_edit_candidates_up_to_the_limit(n, by_words):
     rng, found, high = random.Random(37), [], []
-    while len(high) < 40:
+    while len(high) < 100:
         a = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(n))
         b = scattered(rng, a, rng.uniform(0, 0.2), by_words)
         share = edit_embedding.edit_distance(a, b) / max(len(a), len(b))
         if 0 < share <= 0.15:
-            ids, h = edit_embedding.fingerprints([a, b], 12, 2)
-            hit = bool(set(h[ids == 0].tolist()) & set(h[ids == 1].tolist()))
+            ids, h, sigs = edit_embedding.fingerprints([a, b], 12, 2)
+            x, y = (np.frombuffer(v, np.uint8)[None, :] for v in sigs)
+            hit = bool(set(h[ids == 0].tolist()) & set(h[ids == 1].tolist())) and bool(edit_embedding.close(0.15)(x, y)[0])
             found.append(hit)
             if share > 0.1:
                 high.append(hit)
