@@ -69,61 +69,119 @@ def test_clashing_columns_come_through(spark):
 # --- toxicity ---------------------------------------------------------------
 
 
-def score(text, stems=()):
-    return toxicity.clause_scores(text, toxicity.Lexicon(list(stems)), toxicity.grammar())
+MACHINES = toxicity.grammar()
 
 
-def brute_score(text, stems=()):
-    """The same rules read off the tokens, without transducers."""
-    lex, total, out = toxicity.Lexicon(list(stems)), 0.0, []
-    codes = [lex[t] for t in toxicity.TOKEN.findall(text.lower())]
+def score(text):
+    return toxicity.clause_scores(text, toxicity.Lexicon([]), MACHINES)
+
+
+def brute_score(text):
+    """The same rules looked up around each word, without transducers (for texts without phrases)."""
+    lex, out = toxicity.Lexicon([]), []
+    codes = [toxicity.CLASS.get(c, c) for c in (lex[t] for t in toxicity.TOKEN.findall(text.lower()))]
     parts = [[]]
     for c in codes:
         if c == toxicity.STOP:
             parts.append([])
         else:
             parts[-1].append(c)
+    T = toxicity
+    breaks = (T.COMMA, T.BUT)
     for p in parts:
-        total, said, scope, target, pending = 0.0, False, 0, 0, 0
-        for c in p:
-            hit = c in (toxicity.INSULT, toxicity.THREAT)
-            negated = hit and scope > 0
-            if hit and not negated:
-                near = 0 < target
-                total += {
-                    (False, False, True): 1.0, (False, False, False): 0.25, (False, True, True): 2.0, (False, True, False): 3.0,
-                    (True, False, True): 0.25, (True, False, False): 0.0, (True, True, True): 0.5, (True, True, False): 0.5,
-                }[said, near, c == toxicity.INSULT]
-            if c in (toxicity.PERSON, toxicity.GROUP):
-                total += 1.0 if pending else 0.0
-                target, pending = toxicity.NEAR, 0
-            elif hit and not negated:
-                if not target:
-                    pending = toxicity.NEAR
+        n, kind, clause = len(p), {}, [sum(c in breaks for c in p[: i + 1]) for i in range(len(p))]
+        inside = lambda i, k: [j for j in range(max(0, i - k), i) if clause[j] == clause[i]]
+        negated = [p[i] in (T.INSULT, T.VERB) and any(p[j] == T.NOT for j in inside(i, T.SCOPE)) for i in range(n)]
+        for i in range(n):
+            if negated[i]:
+                continue
+            if p[i] == T.INSULT:
+                kind[i] = "insult"
+            if p[i] == T.VERB:
+                begins = i == 0 or p[i - 1] in breaks
+                meant = any(p[j] == T.WILL for j in inside(i, T.MEANT))
+                if meant and any(p[j] == T.BEFORE for j in inside(i, T.REACH)):
+                    kind[i] = "strong"
+                    continue
+                left, j = T.REACH, i + 1
+                while j < n and p[j] not in breaks:
+                    if p[j] in (T.PERSON, T.GROUP, T.BEFORE) or (p[j] == T.KIN and p[j - 1] == T.OWN):
+                        kind[j] = "strong" if meant or begins else "weak"
+                        break
+                    if p[j] == T.SKIP:
+                        left -= 1
+                    if p[j] not in (T.SKIP, T.OWN) or left <= 0:
+                        break
+                    j += 1
+        said_from = next((i for i in range(n) if p[i] == T.SAYS), n)
+        tail = [c for c in reversed(p)]
+        k, before = 0, 0
+        while k < len(tail) and tail[k] == T.COMMA:
+            k += 1
+        words_read = 0
+        while k < len(tail) and words_read < 3 and tail[k] not in (T.SAYS, T.COMMA):
+            k, words_read = k + 1, words_read + 1
+        if k < len(tail) and tail[k] == T.SAYS:
+            k += 1
+            while k < len(tail) and tail[k] in (T.PERSON, T.GROUP, T.FILL):
+                k += 1
+            if k < len(tail) and tail[k] == T.COMMA:
+                before = n - k - 1
+        target, pending, got = 0, 0, [0.0] * n
+        for i in range(n):
+            said = i > said_from or i < before
+            what = kind.get(i)
+            if what in ("strong", "weak"):
+                got[i] = ({"strong": 0.5, "weak": 0.0} if said else {"strong": 3.0, "weak": 1.0})[what]
+                target, pending = T.NEAR, 0
+            elif p[i] in (T.PERSON, T.GROUP, T.BEFORE, T.OWN):
+                got[i] = 1.0 if pending else 0.0
+                target, pending = T.NEAR, 0
+            elif what == "insult":
+                got[i] = (0.5 if said else 2.0) if target else (0.25 if said else 1.0)
+                pending = 0 if target else T.NEAR
             else:
                 target, pending = max(0, target - 1), max(0, pending - 1)
-            scope = toxicity.SCOPE if c == toxicity.NOT else 0 if c == toxicity.COMMA else max(0, scope - 1)
-            said = said or c == toxicity.SAYS
-        if total:
-            out.append(total)
+        for c in dict.fromkeys(clause):
+            total = sum(g for g, x in zip(got, clause) if x == c)
+            if total:
+                out.append(total)
     return out
 
 
 def test_toxicity_rules():
     assert score("You are an idiot.") == [2.0]
-    assert score("idiot, you") == [2.0]
-    assert score("You are not an idiot.") == []
-    assert score("She said: idiot.")[0] < 1.0
-    assert score("I will kill you.") == [1.25] or score("I will kill you.")[0] >= 1.0
-    assert score("They kill time. A fine day.")[0] >= 0.25
-    assert score("The weather is fine.") == []
+    assert sum(score("idiot, you")) == 2.0
+    assert score("You are not an idiot.") == score("du bist kein Idiot") == score("tu n'es pas un idiot") == []
+    assert score("She said: idiot.")[0] < 1.0 and sum(score('"You are an idiot," he said.')) < 2.0
+    for t in ("I will kill you.", "Kill them all!", "We're gonna hurt your family", "You deserve to die", "Ich werde dich töten", "je vais te tuer", "te voy a matar", "kill all of you"):
+        assert sum(score(t)) >= 2.0, t
+    for t in ("You piece of trash", "du bist ein Arschloch", "tu es un connard", "eres un idiota, tú", "hijo de puta, idiota"):
+        assert sum(score(t)) >= 2.0, t
+    for t in ("They beat the market.", "you hunt for your keys", "They kill time. A fine day.", "I won't kill you", "ich werde dich nicht töten", "The weather is fine.", "You burn wood", "we beat you at chess"):
+        assert sum(score(t)) < 2.0, t
+    assert sum(score("He said he will kill you.")) < 2.0
     rng = random.Random(3)
-    vocab = "idiot scum kill you they not said the a day , . fine never he".split()
-    for _ in range(400):
+    vocab = "idiot scum kill hurt you they not said the a day , . fine never he will all of your family dich but töten".split()
+    for _ in range(3000):
         t = " ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 25)))
         assert score(t) == brute_score(t), t
 
 
+def test_toxicity_takes_long_words(spark):
+    rng, rows, labels = random.Random(1), [], []
+    for i in range(60):
+        w = words(rng, 40).split()
+        for _ in range(3 * (i % 3 == 0)):
+            w.insert(rng.randrange(40), "un" * 7 + "schimpfwort")
+        w += ["un" * 7 + "auffällig"] * 2
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    docs, labels = table(spark, rows), labels_of(spark, labels)
+    found = toxicity.learn_stems(docs, labels)
+    assert "un" * 7 + "schimpfwort$" in found and not any(x.startswith("un" * 7 + "a") for x in found)
+
+
 def test_toxicity_learns_stems_and_filters(spark):
     rng, rows, labels = random.Random(1), [], []
     for i in range(60):
