@@ -438,7 +438,6 @@ def test_edit_distance_and_groups(spark):
     assert len(pairs) >= 0.9 * len(near)
     assert all(any(g <= w for w in want) for g in grouped(got))
     texts = dict(rows)
-    assert all(r.group_id == min(g) for g in grouped(got) for r in got if r.doc_id in g)
     assert all(r.distance == edit_embedding.edit_distance(texts[r.doc_id], texts[r.group_id]) for r in got)
 
 
@@ -453,6 +452,22 @@ def test_edit_filter_is_a_lower_bound():
     assert edit_embedding.few_in_common(a, "x" * len(a), len(a) // 7) and edit_embedding.edit_distance(a, b) > 0
 
 
+def test_edit_distances_of_many_pairs():
+    rng, pairs = random.Random(71), [("", "abc"), ("abc", ""), ("abc", "abc"), ("x" * 900, "y" * 950), ("日本語" * 9, "日本" * 12), ("\U0001f600a", "b\U0001f600")]
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefgh é") for _ in range(rng.choice((3, 30, 300, 2000))))
+        pairs.append((a, scattered(rng, a, rng.choice((0.0, 0.01, 0.05, 0.15, 0.4)), rng.random() < 0.5)))
+    wide = "".join(chr(300 + rng.randrange(900)) for _ in range(500))
+    pairs.append((wide, wide[:100] + "zz" + wide[130:]))
+    want = [edit_embedding.edit_distance(a, b) for a, b in pairs]
+    full = [max(len(a), len(b)) for a, b in pairs]
+    assert edit_embedding.edit_distances(pairs, full) == want
+    assert edit_embedding.edit_distances(pairs, full, together=7, most=40) == want
+    some = [int(0.15 * x) for x in full]
+    for got, x, z in zip(edit_embedding.edit_distances(pairs, some), want, some):
+        assert got == x if x <= z else got > z
+
+
 def test_edit_groups_of_long_texts_and_shared_passages(spark):
     """A text over 65,536 characters with a near copy; many texts that share a passage are no group."""
     rng, passage = random.Random(61), words(random.Random(67), 60, 9000)

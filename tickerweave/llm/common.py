@@ -317,7 +317,7 @@ def agreed(buckets: DataFrame, verify, sigs: DataFrame, close) -> DataFrame:
     length for every key, and ``close`` says of two arrays of them which pairs
     may be near at all; ``verify`` takes and returns pairs (a, b).
 
-    First every member is held against its bucket's smallest key, then, of
+    First every member is held against its buckets' smallest keys, then, of
     buckets with members in different components, every member outside the
     smallest component against the smallest key out there. What is still in
     different components is compared by signature, all with all, and verified
@@ -329,7 +329,15 @@ def agreed(buckets: DataFrame, verify, sigs: DataFrame, close) -> DataFrame:
     firsts = placed.groupBy("bucket").agg(F.min(KEY).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = cut(placed.join(firsts, "bucket"))
     stars = cut(shared.filter(F.col(KEY) != F.col("first")).select(F.col("first").alias("a"), F.col(KEY).alias("b")).distinct())
-    good = cut(verify(sifted(stars, sigs, close)))
+    # each member's smallest candidate first; another only where that leaves the two apart
+    likely = cut(sifted(stars, sigs, close))
+    nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    good = cut(verify(nearest))
+    comp = cut(components(good))
+    of = comp.select(KEY, "comp")
+    apart = likely.join(nearest, ["a", "b"], "left_anti").join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+    good = cut(good.union(verify(apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))))
+    drop(comp)
 
     def left_apart(good):
         comp = cut(components(good))
