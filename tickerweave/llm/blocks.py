@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, keyed, merge_spans, mix, parts, pieces, ranks_of, ready, windows, word_hashes
+from .common import KEY, cut, merge_spans, mix, parts, pieces, ranks_of, ready, set_copies_apart, windows, word_hashes
 
 _PACKED = "p int, docs binary, counts binary, steps binary, hashes binary"
 
@@ -59,9 +59,8 @@ def unpack(docs: bytes, counts: bytes, steps: bytes, hashes: bytes) -> tuple[np.
     return np.repeat(np.frombuffer(docs, np.int64), n), pos.astype(np.int32), h
 
 
-def hits(docs: DataFrame, block: int) -> DataFrame:
-    """(KEY, pos, g): windows that equal a block, where two documents share it; g names the block's text."""
-    groups = parts(docs.sparkSession)
+def hits(once: DataFrame, block: int, groups: int) -> DataFrame:
+    """(KEY, pos, g): windows of (KEY, text) that equal a block, where two documents share it; g names the block's text."""
 
     def probe(batches):
         for batch in batches:
@@ -82,19 +81,19 @@ def hits(docs: DataFrame, block: int) -> DataFrame:
         g = h[keep].astype(np.int64) | np.int64(p) << 32
         return pa.table({KEY: key[keep], "pos": pos[keep], "g": g})
 
-    once = keyed(docs).select(KEY, "text")
-    return once.mapInArrow(probe, _PACKED).groupBy("p").applyInArrow(match, f"{KEY} long, pos int, g long")
+    return once.select(KEY, "text").mapInArrow(probe, _PACKED).groupBy("p").applyInArrow(match, f"{KEY} long, pos int, g long")
 
 
 def shared_blocks(docs: DataFrame, block: int = 25, least: int = 50) -> DataFrame:
     """(KEY, doc_id, kind, start, end), see ``block_repeats``."""
     if least < 2 * block - 1:
         raise ValueError("a repeat must be long enough to hold a whole block: least >= 2 * block - 1")
-    spark = ready(docs.sparkSession)
-    reach, groups = least - block + 1, parts(spark)
-    found = hits(docs, block).distinct()
+    ready(docs.sparkSession)
+    reach, groups = least - block + 1, parts(docs)
+    once, copies = set_copies_apart(docs, least)
+    found = hits(once, block, groups).distinct()
     by_doc = cut(found.groupBy(KEY).agg(F.collect_list(F.struct("pos", "g")).alias("hits")))
-    rows = keyed(docs).join(by_doc, KEY)
+    rows = once.join(by_doc, KEY)
     schema = f"p int, g long, {KEY} long, doc_id long, pos int, near binary"
 
     def around(batches):
@@ -152,7 +151,7 @@ def shared_blocks(docs: DataFrame, block: int = 25, least: int = 50) -> DataFram
         return pa.Table.from_pandas(pd.concat(out), schema=schema_, preserve_index=False) if out else schema_.empty_table()
 
     spans = rows.mapInArrow(around, schema).groupBy("p").applyInArrow(extend, f"{KEY} long, doc_id long, kind string, start int, end int")
-    return merge_spans(spans.distinct())
+    return merge_spans(spans.distinct().unionByName(copies))
 
 
 def block_repeats(docs: DataFrame, block: int = 25, least: int = 50) -> DataFrame:
@@ -163,6 +162,7 @@ def block_repeats(docs: DataFrame, block: int = 25, least: int = 50) -> DataFram
     (smaller doc_id, null last, then KEY) has, which is what a dedup cuts.
     Null, empty and short texts have none; repeated rows are one document, so
     they are no repeats of each other; a null doc_id is a value; repeats
-    within one document alone do not count; other columns are not read.
+    within one document alone do not count; other columns are not read; an
+    empty table gives an empty one; texts count whole, however long.
     """
     return shared_blocks(docs, block, least).select("doc_id", "kind", "start", "end")

@@ -33,11 +33,14 @@ BROADCAST_ROWS = 1_500_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it is not installed."""
+    """Lets Python workers import this package where it is not installed; texts go to them in batches of 2,000 unless the session says otherwise."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
     return spark
 
 
@@ -151,6 +154,19 @@ def pieces(batches, rows: int = 1024):
     rest()
 
 
+def gathered(batches, rows: int = 8_000, size: int = 24_000_000):
+    """The record batches put together to about ``rows`` rows or ``size`` bytes, where what is done with a batch has a cost of its own."""
+    have: list = []
+    for batch in batches:
+        have.append(batch)
+        if sum(b.num_rows for b in have) >= rows or sum(b.nbytes for b in have) >= size:
+            yield pa.Table.from_batches(have).combine_chunks()
+            have = []
+    if have:
+        yield pa.Table.from_batches(have).combine_chunks()
+    rest()
+
+
 class WordHash(dict):
     """word -> 64-bit hash of its lower case, remembered for up to ``most`` words."""
 
@@ -375,9 +391,37 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("new", new).withColumn("island", island).groupBy(*who, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def parts(spark: SparkSession, times: int = 2) -> int:
-    """Number of hash groups for a shuffle whose groups are worked on as arrays."""
-    return times * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parts(docs: DataFrame, chars: int = 12_000_000) -> int:
+    """Number of hash groups whose rows are worked on as arrays: one for each ``chars`` characters of text, two for each shuffle partition at least."""
+    total = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // chars))
+
+
+def set_copies_apart(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """((KEY, doc_id, text) with one document of each different text of at least ``least`` words, (KEY, doc_id, kind, start, end) of the texts that several documents have).
+
+    The one is the first by doc_id (null last), then KEY. Of the others all is
+    'repeat' and 'copy', of the first all is 'repeat'. So however many copies
+    a text has, its words are gone through once.
+    """
+    rows = keyed(docs).filter(F.length("text") >= 2 * least - 1)  # least words and what parts them
+    named = rows.select(KEY, "doc_id", F.md5("text").alias("same"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
+    many = named.groupBy("same").agg(F.min_by(KEY, order).alias("lead"), F.min(KEY).alias("lo"), F.max(KEY).alias("hi")).filter("lo <> hi").select("same", "lead")
+    copies = cut(named.join(many, "same").select(KEY, (F.col(KEY) != F.col("lead")).alias("later")).distinct())
+    later = cut(copies.filter("later").select(KEY))
+
+    def whole(batches):
+        for batch in pieces(batches):
+            n = [len(WORD.findall(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("doc_id"), batch.column("later"), pa.array(n, pa.int32())], [KEY, "doc_id", "later", "end"])
+
+    # few texts are copies: broadcast while their keys are few, and one row for each document
+    some = join_small(rows, copies, "inner").select(KEY, "doc_id", "later", "text").mapInArrow(whole, f"{KEY} long, doc_id long, later boolean, end int")
+    some = some.filter(F.col("end") >= least).distinct()
+    kinds = F.explode(F.when(F.col("later"), F.array(F.lit("repeat"), F.lit("copy"))).otherwise(F.array(F.lit("repeat"))))
+    spans = some.select(KEY, "doc_id", kinds.alias("kind"), F.lit(0).alias("start"), "end")
+    return join_small(rows, later, "left_anti"), spans
 
 
 def ranks_of(ids: list, keys: np.ndarray) -> np.ndarray:

@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, WORD, add_key, cut, join_small, keyed, merge_spans, mix, parts, pieces, ranks_of, ready, rest, shielded, windows, word_hashes
+from .common import BROADCAST_ROWS, KEY, WORD, add_key, cut, drop, join_small, merge_spans, mix, parts, pieces, ranks_of, ready, rest, set_copies_apart, shielded, windows, word_hashes
 
 
 def segments(h: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,8 +149,9 @@ def mark(words: list[np.ndarray], low: np.ndarray, high: np.ndarray, least: int)
 
 def shared_runs(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
     """(KEY, doc_id, kind, start, end), see ``run_repeats``."""
-    spark = ready(docs.sparkSession)
-    groups = parts(spark)
+    ready(docs.sparkSession)
+    groups = parts(docs)
+    once, copies = set_copies_apart(docs, least)
 
     def anchors(batches):
         for batch in pieces(batches):
@@ -160,12 +161,13 @@ def shared_runs(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
             n = [len(x) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)), pa.array(np.repeat(keys, n))], ["a", KEY])
 
-    w = Window.partitionBy("a")
-    found = keyed(docs).select(KEY, "text").mapInArrow(anchors, f"a long, {KEY} long")
-    shared = found.withColumn("lo", F.min(KEY).over(w)).withColumn("hi", F.max(KEY).over(w)).filter("lo <> hi").select(KEY, "a")
-    by_doc = cut(shared.groupBy(KEY).agg(F.collect_set("a").alias("anchors")).withColumn("m", F.size("anchors")))
+    # pre-aggregated by task: a minimiser that very many documents have is a few rows before it is shuffled
+    found = cut(once.select(KEY, "text").mapInArrow(anchors, f"a long, {KEY} long"))
+    both = found.groupBy("a").agg(F.min(KEY).alias("lo"), F.max(KEY).alias("hi")).filter("lo <> hi").select("a")
+    by_doc = cut(found.join(both, "a").groupBy(KEY).agg(F.collect_set("a").alias("anchors")).withColumn("m", F.size("anchors")))
+    drop(found)
     total = by_doc.agg(F.sum("m")).first()[0] or 0
-    rows = join_small(keyed(docs), by_doc.drop("m"), "inner", 3_000_000 * (total <= 3_000_000))
+    rows = join_small(once, by_doc.drop("m"), "inner", BROADCAST_ROWS * (total <= BROADCAST_ROWS))
     schema = f"p int, a long, {KEY} long, doc_id long, start int, words binary"
     arrow = pa.schema([("p", pa.int32()), ("a", pa.int64()), (KEY, pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
@@ -217,7 +219,7 @@ def shared_runs(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
         return made
 
     spans = rows.mapInArrow(gather, schema).groupBy("p").applyInArrow(index, f"{KEY} long, doc_id long, kind string, start int, end int")
-    return merge_spans(spans)
+    return merge_spans(spans.unionByName(copies))
 
 
 def run_repeats(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
@@ -228,7 +230,8 @@ def run_repeats(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
     (smaller doc_id, null last, then KEY) has, which is what ``cut_copies``
     removes. Null, empty and short texts have none; repeated rows are one
     document, so they are no repeats of each other; a null doc_id is a value;
-    repeats within one document alone do not count; other columns are not read.
+    repeats within one document alone do not count; other columns are not
+    read; an empty table gives an empty one; texts count whole, however long.
     """
     return shared_runs(docs, least, gram).select("doc_id", "kind", "start", "end")
 
