@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from tickerweave.llm import registry
+from tickerweave.llm import mixing, registry, unigram
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -48,11 +48,17 @@ def test_stages_take_effect(spark, tmp_path):
     by = {r.doc_id: r for r in seen[2].collect()}
     assert ids[2] == ids[1] and passage in by[24].text and passage.split()[5] not in by[25].text.split()
     assert by[25].n_chars == len(by[25].text) and by[24].text == texts[24]
-    tokens = {s: sum(len(r.text.split()) for r in seen[3].collect() if r.text and r.source == s) for s in "ab"}
-    have = {s: sum(len(r.text.split()) for r in seen[2].collect() if r.text and r.source == s) for s in "ab"}
-    want = {s: have[s] ** 0.5 for s in "ab"}
-    whole = min(have[s] / want[s] for s in "ab")
-    assert all(0 <= round(whole * want[s]) - tokens[s] < 120 for s in "ab")  # the documents have 60 to 200 words
+    model = unigram.Unigram(unigram.vocabulary())
+    count = lambda t: sum(map(unigram.Counts(model).__getitem__, model.units(t)))
+    tokens = {s: sum(count(r.text) for r in seen[3].collect() if r.text and r.source == s) for s in "ab"}
+    have = {s: sum(count(r.text) for r in seen[2].collect() if r.text and r.source == s) for s in "ab"}
+    budget = mixing.budgets(have, {s: have[s] ** 0.5 for s in "ab"})
+    for x in "ab":  # the largest sum of these documents' tokens within the budget
+        reach = 1
+        for r in seen[2].collect():
+            if r.text and r.source == x:
+                reach |= reach << count(r.text)
+        assert tokens[x] == (reach & ((2 << budget[x]) - 1)).bit_length() - 1
     assert ids[4] == ids[3] and all(r.round_trip for r in seen[4].collect())
     again = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, again.select("doc_id", "n_tokens").collect()), key=str) == sorted(map(tuple, seen[4].select("doc_id", "n_tokens").collect()), key=str)

@@ -239,6 +239,21 @@ def test_encoding_agrees_with_another_library(spark, model):
     assert back == {i: t.replace("▁", " ") for i, t in enumerate(texts)}
 
 
+def test_encoding_of_long_texts(spark, model):
+    """Texts over 65,536 characters, with the default settings: words, one run of letters, blanks, and a repeated row."""
+    other, rng = reference(), random.Random(9)
+    texts = [words(rng, 30_000), "ab" * 50_000, " " * 70_000 + "x", "日本語 " * 30_000]
+    docs = table(spark, list(enumerate(texts)) + [(0, texts[0])])
+    got = sentencepiece_scan.encode(docs).collect()
+    assert sorted(r.doc_id for r in got) == [0, 0, 1, 2, 3]
+    for r in got:
+        assert list(r.ids) == other.encode("▁" + texts[r.doc_id].replace(" ", "▁")).ids and r.round_trip
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
+    assert counts == {r.doc_id: r.n_tokens for r in got}
+    nulls = spark.createDataFrame([(1, None), (None, [5]), (2, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text is None for r in sentencepiece_scan.decode(nulls).collect()} == {1: True, None: False, 2: False}
+
+
 def test_scan_is_associative(model):
     rng = np.random.default_rng(0)
     ms = [np.where(rng.random((4, 4)) < 0.3, -1e300, rng.integers(-9, 0, (4, 4)).astype(float)) for _ in range(6)]
@@ -266,18 +281,41 @@ def test_knapsack_is_exact():
         assert sum(size[i] * k for i, k in got) == best
 
 
-def test_mixing_meets_budgets(spark):
+def test_fitted_counts_are_the_best():
+    rng = random.Random(6)
+    assert sum(a * b for a, b in zip((5000, 7001), mixing.fit_counts([5000, 7001], [5, 3], 15_000))) == 15_000
+    for turn in range(300):
+        n, big = rng.randrange(1, 5), rng.choice((12, 60, 6000))
+        size = rng.sample(range(1, big), n)
+        if turn % 3 == 0:
+            size = [3 * x for x in size]
+        left = [rng.randrange(0, 5) for _ in size]
+        budget = rng.randrange(0, 4 * big)
+        got = mixing.fit_counts(size, left, budget, window=rng.choice((8, 64, 4096)))
+        assert all(0 <= k <= m for k, m in zip(got, left))
+        best = max(s for s in (sum(a * b for a, b in zip(size, c)) for c in itertools.product(*[range(x + 1) for x in left])) if s <= budget)
+        assert sum(a * b for a, b in zip(size, got)) == best
+
+
+def test_mixing_meets_budgets(spark, model):
     rng = random.Random(4)
     rows = [(i, words(rng, rng.randrange(1, 60)), rng.choice("aaab") if i % 9 else None) for i in range(400)]
+    rows += [(500, words(rng, 20), "a")] * 40 + [(501, "日本語" * 30, "b"), (502, "", "c"), (503, None, "b")]
     docs = table(spark, rows)
+    count = lambda t: sum(map(unigram.Counts(model).__getitem__, model.units(t)))
     got = mixing.mix_sources(docs, {"a": 0.5, "b": 0.5}).collect()
     by = {}
     for r in got:
-        by[r.source] = by.get(r.source, 0) + len(r.text.split())
-    have = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+        if r.text:
+            by[r.source] = by.get(r.source, 0) + count(r.text)
+    have = {s: sum(count(t) for _, t, x in rows if x == s and t) for s in "ab"}
     assert by == {"a": min(have.values()), "b": min(have.values())}
-    assert mixing.mix_sources(docs, alpha=1.0).count() == 400
+    assert {502, 503} <= {r.doc_id for r in got}
+    assert mixing.mix_sources(docs, alpha=1.0).count() == 443
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in mixing.mix_sources(docs.repartition(7), {"a": 0.5, "b": 0.5}).collect())
+    for small in range(60, 400, 97):  # budgets that end among the copies
+        got = mixing.mix_sources(docs, {"a": 1.0}, total=small).collect()
+        assert sum(count(r.text) for r in got if r.text) == small
 
 
 def test_mixing_is_not_bound_by_the_smallest_source():
@@ -508,7 +546,7 @@ def test_edit_candidates_up_to_the_limit(n, by_words):
 
 def repeats(rows, least):
     """Marked words by (doc_id, kind), by counting windows."""
-    rows = sorted(dict.fromkeys(rows))
+    rows = sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     texts = [[w.lower() for w in minhash.word_hashes.__globals__["WORD"].findall(t)] for _, t in rows]
     seen = {}
     for d, w in enumerate(texts):
@@ -525,11 +563,17 @@ def repeats(rows, least):
     return made
 
 
-@pytest.mark.parametrize("find", [runs.run_repeats, blocks.block_repeats])
-def test_repeats_against_brute_force(spark, find):
+@pytest.mark.parametrize("find", [runs.run_repeats, blocks.block_repeats, "shuffled"])
+def test_repeats_against_brute_force(spark, find, monkeypatch):
+    if find == "shuffled":  # the way beyond the broadcast bound
+        monkeypatch.setattr(runs, "BROADCAST_ROWS", 0)
+        find = runs.run_repeats
     rng = random.Random(17)
     passage = [words(rng, n, 5000) for n in (50, 51, 80, 49)]
     rows = [(i, words(rng, rng.randrange(0, 80), 5000) + " " + rng.choice(passage + [""]) + " " + words(rng, rng.randrange(0, 60), 5000)) for i in range(60)]
+    rows += [(i, rows[2][1]) for i in range(70, 90)] + [(-1, rows[4][1]), (None, rows[4][1])]
+    long = words(rng, 15_000, 5000)
+    rows += [(90, f"{long} {passage[2]}"), (91, f"x {long[4000:90_000]} y")]
     rows += [(60, rows[0][1]), (61, words(rng, 60, 3) + " x"), (62, "lo la " * 70), (63, "lo la " * 50), (64, rows[1][1].upper().replace(" ", ", "))]
     got = {}
     docs = table(spark, rows + [rows[5], rows[62]])

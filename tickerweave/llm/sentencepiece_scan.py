@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, alone, keyed, pieces, ready
+from .common import KEY, alone, cut, keyed, pieces, ready, rest
 from .unigram import MODEL, SPACE, Unigram, loaded, vocabulary
 
 LOW = -1e300
@@ -120,8 +120,9 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 65_536) -> Da
     round_trip: decoding ids gives the text again (with U+2581 read as a
     space, as the tokenizer does). Null and empty texts have no ids; null
     doc_ids stay; repeated rows are encoded each; other columns are not read;
-    an empty table gives an empty one. ``chunk_chars`` decides which documents
-    are split; the ids do not depend on it.
+    an empty table gives an empty one; texts are encoded whole, however long.
+    ``chunk_chars`` decides which documents are split; the ids do not depend on
+    it.
     """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(vocabulary(model))
@@ -182,29 +183,39 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 65_536) -> Da
                 ["doc_id", "n_tokens", "ids", "round_trip"],
             )
 
+    look = Unigram(shared.value).longest - 1
+    cut_schema = pa.schema([(KEY, pa.int64()), ("k", pa.int32()), ("part", pa.string()), ("size", pa.int32())])
+
+    def split(batches):
+        """Each long text is gone through once and leaves in parts."""
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, text = batch.column(0)[row].as_py(), SPACE + batch.column(1)[row].as_py().replace(" ", SPACE)
+                for at in range(0, len(text), 16 * chunk_chars):
+                    starts = range(at, min(at + 16 * chunk_chars, len(text)), chunk_chars)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([key] * len(starts), pa.int64()), pa.array([x // chunk_chars for x in starts], pa.int32()),
+                            pa.array([text[x : x + chunk_chars + look] for x in starts]), pa.array([min(chunk_chars, len(text) - x) for x in starts], pa.int32()),
+                        ],
+                        schema=cut_schema,
+                    )
+        rest()
+
     short = rows.filter(F.length("text") <= chunk_chars).select("doc_id", "text").mapInArrow(whole, schema)
     longer = rows.filter(F.length("text") > chunk_chars)
-    look = Unigram(shared.value).longest - 1
-    norm = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    chunks = (
-        longer.select(KEY, norm.alias("norm"))
-        .select(KEY, "norm", F.explode(F.expr(f"sequence(0, cast((length(norm) - 1) div {chunk_chars} as int))")).alias("k"))
-        .select(
-            KEY, "k", F.expr(f"substring(norm, k * {chunk_chars} + 1, {chunk_chars + look})").alias("part"),
-            F.expr(f"least({chunk_chars}, length(norm) - k * {chunk_chars})").alias("size"),
-        )
-    )
-    chunks = chunks.repartition(KEY, "k")
+    # written out: the parts are spread over all tasks twice, and the steps below end before the short texts begin
+    chunks = cut(longer.select(KEY, "text").mapInArrow(split, f"{KEY} long, k int, part string, size int").repartition(KEY, "k"))
     entries = chunks.mapInPandas(matrices, f"{KEY} long, k int, m binary").groupBy(KEY).applyInPandas(combine, f"{KEY} long, k int, entry binary")
     found = chunks.join(entries, [KEY, "k"]).mapInPandas(paths, f"{KEY} long, k int, j int, i int, ids binary")
-    blobs = found.groupBy(KEY).applyInPandas(follow, f"{KEY} long, blob binary, md5 string")
+    blobs = cut(found.groupBy(KEY).applyInPandas(follow, f"{KEY} long, blob binary, md5 string"))
     ids = longer.select(KEY, "doc_id", F.md5(F.translate("text", SPACE, " ")).alias("want"))
     giant = ids.join(blobs, KEY).select("doc_id", "blob", (F.col("want") == F.col("md5")).alias("round_trip")).mapInArrow(unpack, schema)
     return short.unionByName(giant)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) from (doc_id, ids); null ids give a null text, an empty table an empty one."""
     shared = ready(encoded.sparkSession).sparkContext.broadcast(vocabulary(model))
 
     @F.pandas_udf("string")

@@ -58,7 +58,6 @@ class Unigram:
         self.longest = max(len(text) for text, _, _ in vocab["pieces"])
         self.unknown = min(s for _, s, _ in vocab["pieces"]) - 10.0
         self.byte, self.raw = vocab["byte"], vocab["raw"]
-        self.runs = any(len(t) > 1 and not t.strip(SPACE) for t, _, _ in vocab["pieces"])
 
     def lattice(self, s: str, into: dict[int, float] | None = None):
         """(best, start, piece) by end position; ``into``: scores of the positions at which a path may begin."""
@@ -129,7 +128,7 @@ class Unigram:
     def units(self, text: str) -> list[str]:
         """Parts that no piece crosses."""
         if "  " in text or SPACE in text or text[:1] == " ":
-            return UNITS.findall(SPACE + text.replace(" ", SPACE)) if self.runs else UNITS.findall(SPACE + text.replace(" ", SPACE))
+            return UNITS.findall(SPACE + text.replace(" ", SPACE))
         return (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")).split(" ") if text else []
 
     def decode(self, ids) -> str:
