@@ -206,3 +206,62 @@ def test_training_log_reads_all_suppliers(spark, tmp_path):
 
     spark.createDataFrame([(i, 1000.0 - i) for i in range(1, 151)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
     assert catalog.queries()["l04_training_log"](spark, str(tmp_path)).count() == 150
+
+
+def test_ema_weighs_by_gaps(spark):
+    """Against pandas' ewm, with nulls at the start, inside and at the end, over several blocks."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(1)
+    values = [None, None] + [None if rng.random() < 0.3 else rng.uniform(1, 100) for _ in range(700)] + [None]
+    want = pd.Series(values, dtype="float64").ewm(span=12, adjust=False).mean()
+    got = P._ema(values, 2.0 / 13)
+    assert got[:2] == [None, None] and all(abs(a - b) < 1e-9 for a, b in zip(got[2:], want[2:]) if b == b)
+    assert P._ema([10.0, None, 12.0, 13.0], 2.0 / 13)[2:] == pytest.approx([10.35365854, 10.76078799], abs=1e-6)
+    assert P._ema([None, None], 0.1) == [None, None]
+
+
+def test_json_articles_with_raw_line_ends():
+    from tickerweave.functions import html as H
+
+    page = '<script type="application/ld+json">{"@type": "NewsArticle", "headline": " A ", "datePublished": 2024, "articleBody": "one\n\ttwo "}</script><p>other text that is long enough to count</p>'
+    assert H.article(page) == ("2024", "A", "one\n\ttwo", None)
+
+
+def test_batch_scorer_loads_once_and_lag_regression(spark, tmp_path):
+    import numpy as np
+    from tickerweave.operators import models as M
+
+    def load():
+        return lambda texts: [(float(len(t)), 0.0, 1.0) for t in texts]
+
+    got = M.BatchScorer(load).score(spark.createDataFrame([(1, "abc"), (2, None)], "i int, t string"), "t").orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(1, "abc", 3.0, 0.0, 1.0), (2, None, 0.0, 0.0, 1.0)]
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    y = x @ [1.0, -2.0, 0.5] + 4 + rng.normal(size=80) * 0.1
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, target_close double")
+    fitted = M.LagRegression(["a", "b", "c"], solver="normal").fit(df)
+    want = np.linalg.lstsq(np.c_[x, np.ones(80)], y, rcond=None)[0]
+    assert np.allclose([*fitted.model.coefficients, fitted.model.intercept], want, atol=1e-6)
+    first = M.LagRegression(["a", "b", "c"], solver="normal").fit_or_load(df, str(tmp_path / "m"))
+    again = M.LagRegression(["a", "b", "c"]).fit_or_load(df.limit(0), str(tmp_path / "m"))
+    assert list(first.model.coefficients) == list(again.model.coefficients)
+    trials = M.ridge_search(df, df, ["a", "b", "c"], {"ridge": [0.0, 10.0]}).orderBy("val_loss").collect()
+    assert len(trials) == 2 and trials[0].ridge == 0.0
+    assert fitted.predict(df).count() == 80
+
+
+def test_rank_without_a_global_window(spark):
+    import random
+
+    from tickerweave.operators import relational as R
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 1.0, float(rng.randrange(300))])) for i in range(500)]
+    got = {r.i: r["rank"] for r in R.ranked(spark.createDataFrame(rows, "i int, v double"), F.col("v"), F.col("i")).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert got == {r[0]: k for k, r in enumerate(want)}
+    assert R.ranked(spark.createDataFrame([], "i int, v double"), F.col("v"), F.col("i")).count() == 0

@@ -86,3 +86,37 @@ def test_streams(spark, tmp_path):
     assert sorted(r.url for r in spark.table("articles").collect()) == ["u1", "u2", "u3"]
     got = spark.table("hours").collect()
     assert [(r.Open, r.High, r.Low, r.Close, r.Volume) for r in got] == [(1.0, 3.0, 1.0, 2.0, 3)]
+
+
+def test_missing_numbers_and_options(spark, tmp_path):
+    put(tmp_path / "n.csv", "a,b\n1,NA\n2,NaN\n3,\n4,2.5\nx,1\n5,oops\n")
+    got = sorted(tuple(r) for r in S.read_csv(spark, str(tmp_path / "n.csv"), "a int, b double", multi_line=False).collect())
+    assert got == [(1, None), (2, None), (3, None), (4, 2.5)]
+    (tmp_path / "l.csv").write_bytes("a,b\n1,caf\xe9\n".encode("latin-1"))
+    assert S.read_csv(spark, str(tmp_path / "l.csv"), "a int, b string", encoding="ISO-8859-1").first().b == "caf\xe9"
+    got = S.read_csv(spark, str(tmp_path), "a int, b string", glob="*.csv", exclude=["l.csv"], columns=["a"])
+    assert got.count() == 5 and got.columns == ["a"]
+
+
+def test_skipped_files(spark, tmp_path):
+    put(tmp_path / "abc.csv", "close\n1.5\n")
+    put(tmp_path / "bad.csv", "close\nx\n")
+    put(tmp_path / "empty.csv", "")
+    read = S.read_folder_by_name(spark, str(tmp_path), "close double")
+    assert {r.ticker for r in S.skipped_files(spark, str(tmp_path), read).collect()} == {"BAD", "EMPTY"}
+
+
+def test_news_folder_of_headed_files(spark, tmp_path):
+    put(tmp_path / "d" / "1.csv", "date,title,news,url\n2024-01-01,T,N,u1\n")
+    put(tmp_path / "d" / "2.csv", "Date,Title,News,URL\n2024-01-02,T,N,u2\n2024-01-03,,N,u3\n")
+    put(tmp_path / "e.csv", "2024-01-04,T,the news,u4\n")
+    got = S.news_files(spark, [str(tmp_path / "d"), str(tmp_path / "e.csv")]).collect()
+    assert {(r.file, r.url, r.title) for r in got} == {(0, "u1", "T"), (0, "u2", "T"), (0, "u3", None), (1, "u4", "T")}
+    assert S.news_files(spark, []).count() == 0
+
+
+def test_summary_with_sizes(spark, tmp_path):
+    df = spark.range(10).toDF("a")
+    df.write.parquet(str(tmp_path / "t"))
+    row = S.with_sizes(spark, S.summary({"t": df}), {"t": str(tmp_path / "t")}).first()
+    assert (row.n_rows, row.n_columns) == (10, 1) and row.kb > 0

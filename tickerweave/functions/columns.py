@@ -202,3 +202,15 @@ def token_windows(words: Column, size: int = 510, overlap: int = 256) -> Column:
     count = F.when(n == 0, 0).when(n <= size, 1).otherwise(1 + F.ceil((n - size) / F.lit(step))).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(words, i * step + 1, F.lit(size)))
+
+
+def encoded_windows(ids: Column, size: int = 510, overlap: int = 256, first: int = 101, last: int = 102, pad: int = 0) -> Column:
+    """Sub-word ids as windows of size + 2: a special id in front, one behind, padded to full length; with the mask of what is no padding."""
+
+    def window(w):
+        whole = F.concat(F.array(F.lit(first)), w, F.array(F.lit(last)))
+        fill = F.lit(size + 2) - F.size(whole)
+        ones, zeros = F.array_repeat(F.lit(1), F.size(whole)), F.array_repeat(F.lit(0), fill)
+        return F.struct(F.concat(whole, F.array_repeat(F.lit(pad), fill)).alias("ids"), F.concat(ones, zeros).alias("mask"))
+
+    return F.transform(token_windows(ids.cast("array<int>"), size, overlap), window)

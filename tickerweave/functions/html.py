@@ -90,7 +90,7 @@ def author_name(value) -> str | None:
 def _json_article(scripts: list[str]) -> dict | None:
     for text in scripts:
         try:
-            found = json.loads(text)
+            found = json.loads(text, strict=False)  # bodies may hold raw line ends
         except ValueError:
             continue
         todo = found if isinstance(found, list) else [found]
@@ -109,7 +109,8 @@ def article(source: str | None) -> tuple:
     p = page(source)
     x = _json_article(p.scripts)
     if x:
-        return x.get("datePublished"), x["headline"], x["articleBody"], author_name(x.get("author"))
+        date, title, body = (None if v is None else str(v).strip() for v in (x.get("datePublished"), x["headline"], x["articleBody"]))
+        return date, title, body, author_name(x.get("author"))
     title = next((t for t in [*p.texts["h1"], *p.texts["title"]] if t), None)
     date = p.meta.get("article:published_time") or next((t for t in p.texts["time"] if t), None)
     body = "\n".join(t for t in p.texts["p"] if len(t) > 30) or None

@@ -38,3 +38,15 @@ def classification(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def best_trial(trials: DataFrame, metric: str = "val_loss") -> DataFrame:
     """The trial with the least metric; ties go to the smallest id."""
     return trials.agg(F.min_by(F.struct(*trials.columns), F.struct(metric, "trial_id")).alias("x")).select("x.*")
+
+
+def error_histogram(df: DataFrame, actual: str, predicted: str, width: float) -> DataFrame:
+    """(bin, n): how many errors (actual - predicted) lie in [bin, bin + width)."""
+    return df.groupBy((F.floor((F.col(actual) - F.col(predicted)) / width) * width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def plot_series(df: DataFrame, keys: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(Ticker, Date, kind, value): actual and predicted curves of the given tickers, long, as plots take them."""
+    rows = df.join(keys, "Ticker", "left_semi")
+    kinds = F.array(F.struct(F.lit("actual").alias("kind"), F.col(actual).alias("value")), F.struct(F.lit("predicted").alias("kind"), F.col(predicted).alias("value")))
+    return rows.select("Ticker", "Date", F.inline(kinds))

@@ -14,10 +14,12 @@ from tickerweave.functions.columns import rounded
 def with_ema(bars: DataFrame, close: str = "Close", span: int = 12, name: str = "EMA_12", key: str = "Ticker", order: str = "Date") -> DataFrame:
     """Adds the exponential mean y = a x + (1 - a) y', y0 = x0, a = 2 / (span + 1), in row order.
 
-    One pass per ticker: its rows are gathered as an ordered array and folded
-    (a running fold over the frame would be quadratic), and laid out as rows
-    again: no join brings the means back. A null leaves the mean as it is;
-    before the first value it is null. Columns must be of orderable types.
+    A null leaves the mean as it is, but the next value weighs more for it:
+    after g steps from the value before, y = (b x' + a x) / (b + a) with
+    b = (1 - a) ** g. Before the first value the mean is null. One pass per
+    ticker: its rows are gathered as an ordered array, folded as arrays (a
+    running fold over the frame would be quadratic), and laid out as rows
+    again: no join brings the means back. Columns must be of orderable types.
     """
     a = 2.0 / (span + 1)
     rest = [c for c in bars.columns if c not in (key, order)]
@@ -35,13 +37,21 @@ def with_ema(bars: DataFrame, close: str = "Close", span: int = 12, name: str =
     return rows.select(*[F.col(key) if c == key else F.col(f"__z.s.{names[c]}").alias(c) for c in bars.columns], F.col("__z.e").alias(name))
 
 
-def _ema(values, a: float) -> list:
-    out, y, b = [], None, 1 - a
-    for x in values.tolist() if isinstance(values, np.ndarray) else values:
-        if x is not None and x == x:
-            y = x if y is None else a * x + b * y
-        out.append(y)
-    return out
+def _ema(values, a: float, block: int = 128) -> list:
+    """The means of one series, in blocks: y_j = P_j (y + sum of d_i x_i / P_i), P the running product of the old values' weights."""
+    x = np.array([np.nan if v is None else v for v in values], np.float64)
+    at = np.flatnonzero(~np.isnan(x))
+    if not len(at):
+        return [None] * len(x)
+    w = (1.0 - a) ** np.diff(at).astype(np.float64)
+    old, new = w / (w + a), a / (w + a)
+    means = np.empty(len(at))
+    means[0] = x[at[0]]
+    for lo in range(0, len(w), block):
+        p = np.cumprod(old[lo : lo + block])
+        means[lo + 1 : lo + 1 + len(p)] = p * (means[lo] + np.cumsum(new[lo : lo + block] * x[at[lo + 1 : lo + 1 + len(p)]] / p))
+    filled = means[np.maximum(np.searchsorted(at, np.arange(len(x)), side="right") - 1, 0)]
+    return [None] * int(at[0]) + filled[at[0] :].tolist()
 
 
 def price_features(bars: DataFrame, digits: int | None = 4) -> DataFrame:

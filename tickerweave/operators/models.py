@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +27,32 @@ class LexiconScorer:
     def __init__(self, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE):
         self.positive, self.negative = positive, negative
 
-    def _hits(self, words: Column, listed: list[str]) -> Column:
-        every = F.array(*map(F.lit, listed))
-        return F.size(F.filter(words, lambda t: F.array_contains(every, t))).cast("double")
-
     def score(self, df: DataFrame, text: str) -> DataFrame:
         words = tokens(alnum_only(F.lower(F.coalesce(F.col(text), F.lit("")))))
-        counted = df.withColumns({"__p": self._hits(words, self.positive), "__n": self._hits(words, self.negative)})
-        pos, neg, neu = softmax(F.col("__p"), F.col("__n"), F.lit(1.0))
-        return counted.withColumns({"pos": pos, "neg": neg, "neu": neu}).drop("__p", "__n")
+        # the words are split once: one fold over them counts both lists
+        up, down = F.array(*map(F.lit, self.positive)), F.array(*map(F.lit, self.negative))
+        step = lambda a, t: F.struct((a["p"] + F.array_contains(up, t).cast("double")).alias("p"), (a["n"] + F.array_contains(down, t).cast("double")).alias("n"))
+        counted = df.withColumn("__c", F.aggregate(words, F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("n")), step))
+        pos, neg, neu = softmax(F.col("__c.p"), F.col("__c.n"), F.lit(1.0))
+        return counted.withColumns({"pos": pos, "neg": neg, "neu": neu}).drop("__c")
+
+
+class BatchScorer:
+    """A model behind ``load``: loaded once in each worker, then called on Arrow batches of texts; it returns rows of (pos, neg, neu)."""
+
+    def __init__(self, load):
+        self.load = load
+
+    def score(self, df: DataFrame, text: str) -> DataFrame:
+        load = self.load
+
+        @F.pandas_udf("pos double, neg double, neu double")
+        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            model = load()
+            for texts in batches:
+                yield pd.DataFrame(list(model(texts.fillna("").tolist())), columns=["pos", "neg", "neu"], dtype="float64")
+
+        return df.withColumn("__s", scored(F.col(text).cast("string"))).select(*df.columns, "__s.pos", "__s.neg", "__s.neu")
 
 
 class SequenceRegressor(Protocol):
@@ -67,6 +86,53 @@ class LinearTrend:
         return df.withColumn("prediction", F.col(self.feature) * self.slope + self.intercept)
 
 
+class LagRegression:
+    """Ridge or lasso regression of the target on the lagged columns (a flattened sequence), by pyspark.ml; ``log`` has the loss by iteration."""
+
+    def __init__(self, features: list[str], target: str = "target_close", ridge: float = 0.0, lasso_share: float = 0.0, rounds: int = 100, solver: str = "auto"):
+        self.features, self.target, self.params = features, target, {"regParam": ridge, "elasticNetParam": lasso_share, "maxIter": rounds, "solver": solver}
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        return VectorAssembler(inputCols=self.features, outputCol="__x", handleInvalid="skip").transform(df)
+
+    def fit(self, train: DataFrame) -> LagRegression:
+        from pyspark.ml.regression import LinearRegression
+
+        self.model = LinearRegression(featuresCol="__x", labelCol=self.target, predictionCol="prediction", **self.params).fit(self._vectors(train))
+        losses = list(self.model.summary.objectiveHistory) if self.model.hasSummary else []
+        self.log = train.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, val_mse double")
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self._vectors(df)).drop("__x")
+
+    def fit_or_load(self, train: DataFrame, path: str) -> LagRegression:
+        """Training is skipped where a model was saved at ``path``."""
+        from pyspark.ml.regression import LinearRegressionModel
+
+        spark = train.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            self.model = LinearRegressionModel.load(path)
+            return self
+        self.fit(train)
+        self.model.write().overwrite().save(path)
+        return self
+
+
+def ridge_search(train: DataFrame, validation: DataFrame, features: list[str], grid: dict[str, list], target: str = "target_close") -> DataFrame:
+    """(trial_id, ridge, lasso_share, val_loss) of every combination: fitted on the training part, scored on the validation part."""
+    made = None
+    for i, (ridge, share) in enumerate((r, s) for r in grid.get("ridge", [0.0]) for s in grid.get("lasso_share", [0.0])):
+        p = LagRegression(features, target, ridge, share).fit(train).predict(validation)
+        row = p.agg(F.avg(F.pow(F.col(target) - F.col("prediction"), 2)).alias("val_loss"))
+        row = row.select(F.lit(i).alias("trial_id"), F.lit(float(ridge)).alias("ridge"), F.lit(float(share)).alias("lasso_share"), "val_loss")
+        made = row if made is None else made.unionByName(row)
+    return made
+
+
 def grid_search(train: DataFrame, validation: DataFrame, features: list[str], target: str = "target_close") -> DataFrame:
     """(trial_id, feature, val_loss): every candidate is fitted on the training part and scored on the validation part, never on the test part."""
     made = None

@@ -114,6 +114,29 @@ def filter_columns(df: DataFrame, drop: list[str]) -> DataFrame:
     return df.drop(*drop)
 
 
-def ranked(df: DataFrame, metric: Column, *ties: Column) -> DataFrame:
-    """Rows numbered from 0 by a metric. A global order: meant for results as short as trials or tickers."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(metric, *ties)) - 1)
+def ranked(df: DataFrame, metric: Column, *ties: Column, buckets: int = 64) -> DataFrame:
+    """Rows numbered from 0 by a numeric metric (nulls first).
+
+    The metric's quantiles cut the rows into buckets, which are counted; a
+    row's number is its number in its bucket and the buckets before, so no
+    task sorts all rows.
+    """
+    rows = df.withColumn("__m", metric.cast("double"))
+    cuts = sorted(set(rows.approxQuantile("__m", [i / buckets for i in range(1, buckets)], 0.005)))
+    listed = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    rows = rows.withColumn("__b", F.coalesce(F.size(F.filter(listed, lambda c: c <= F.col("__m"))), F.lit(0)))
+    rows = rows.withColumn("__b", F.when(F.col("__m").isNull(), -1).otherwise(F.col("__b")))
+    counts = rows.groupBy("__b").agg(F.count("*").alias("__n"))
+    base = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__base"))
+    made = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__b").orderBy("__m", *ties))).join(base, "__b")
+    return made.withColumn("rank", (F.col("__i") + F.col("__base") - 1).cast("int")).drop("__m", "__b", "__i", "__base")
+
+
+def unseen(links: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
+    """Links, once each, that are not in ``seen``."""
+    return links.dropDuplicates([key]).join(seen.select(key).distinct(), key, "left_anti")
+
+
+def stale_report(bars: DataFrame) -> DataFrame:
+    """(Date, n): on which days bars are dropped as stale, and how many."""
+    return bars.filter((F.col("Volume") == 0) & (F.col("Open") == F.col("Close"))).groupBy("Date").agg(F.count("*").alias("n"))

@@ -16,6 +16,7 @@ from tickerweave.operators import evaluate as E
 from tickerweave.operators import features as P
 from tickerweave.operators import models as M
 from tickerweave.operators import relational as R
+from tickerweave.plans import phases as PH
 from tickerweave.sources import files as S
 from tickerweave.sources import virtual as V
 
@@ -48,7 +49,7 @@ holes AS (SELECT Ticker, Date, Open, High, Low, CASE WHEN Volume % 11 <> 0 THEN
 DAILY = """
 daily AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, max(o_totalprice) AS score FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"""
 SCORES = """
-scores AS (SELECT CAST(l_suppkey AS VARCHAR) AS Ticker, CAST(l_shipdate AS DATE) AS Date, max(l_discount) AS score FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2)"""
+scores AS (SELECT CAST(l_suppkey AS VARCHAR) AS Ticker, CAST(l_shipdate AS DATE) AS Date, max(l_discount) AS score FROM lineitem GROUP BY 1, 2)"""
 
 
 def holes(s, sf):
@@ -65,7 +66,7 @@ def daily(s, sf):
 
 
 def scores(s, sf):
-    x = V.table(s, sf, "lineitem").filter("l_linenumber = 1")
+    x = V.table(s, sf, "lineitem")
     return x.groupBy(F.col("l_suppkey").cast("string").alias("Ticker"), F.to_date("l_shipdate").alias("Date")).agg(F.max("l_discount").alias("score"))
 
 
@@ -116,7 +117,7 @@ _add("s13_rest_news", _rest, """SELECT user_id AS symbol, date_trunc('second', t
 _add("k02_append_write", _appended, "SELECT * FROM customer")
 _add("k03_skip_if_exists", _staged, "SELECT * FROM nation")
 _add("k04_resumed_chunks", _resumed, "SELECT o_orderkey, o_totalprice, CAST(o_orderkey % 4 AS BIGINT) AS chunk FROM orders")
-_add("k05_summary", lambda s, sf: S.summary({n: V.table(s, sf, n) for n in ("orders", "customer")}), "SELECT 'orders' AS \"table\", count(*) AS n_rows, 6 AS n_columns FROM orders UNION ALL SELECT 'customer', count(*), 5 FROM customer")
+_add("k05_summary", lambda s, sf: S.summary({n: V.table(s, sf, n) for n in ("orders", "customer")}), " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {t})) AS n_columns FROM {t}" for t in ("orders", "customer")))
 _add("bars", V.bars, f"WITH {V.BARS} SELECT * FROM bars")
 _add("intraday_bars", V.intraday_bars, V.INTRADAY)
 
@@ -168,11 +169,11 @@ _add("a17_oldest_on_page", lambda s, sf: R.oldest_on_page(V.table(s, sf, "events
 def _chunk_scores(s, sf):
     c = V.table(s, sf, "conversations").select("conv_id", (F.length("text") % 7 / 10.0).alias("pos"), (F.length("text") % 3 / 10.0).alias("neg"), F.lit(0.1).alias("neu"), "turn")
     docs = V.table(s, sf, "conversations").select("conv_id").distinct()
-    return R.document_scores(docs, c.filter("turn % 2 = 1"), "conv_id").select("conv_id", *_rnd("pos", "neg", "neu"))
+    return R.document_scores(docs, c, "conv_id").select("conv_id", *_rnd("pos", "neg", "neu"))
 
 
 _add("a06_document_scores", _chunk_scores, f"""
-WITH m AS (SELECT conv_id, avg(length(text) % 7 / 10.0) AS pos, avg(length(text) % 3 / 10.0) AS neg, avg(0.1) AS neu FROM conversations WHERE turn % 2 = 1 GROUP BY 1)
+WITH m AS (SELECT conv_id, avg(length(text) % 7 / 10.0) AS pos, avg(length(text) % 3 / 10.0) AS neg, avg(0.1) AS neu FROM conversations GROUP BY 1)
 SELECT DISTINCT c.conv_id, {_r('coalesce(pos, 0.0)')} AS pos, {_r('coalesce(neg, 0.0)')} AS neg, {_r('coalesce(neu, 1.0)')} AS neu FROM conversations c LEFT JOIN m USING (conv_id)""")
 
 # --- windows ---------------------------------------------------------------
@@ -204,8 +205,10 @@ _add("w01_daily_return", _holed(("r", lambda w: I.daily_return("Close", w))), _P
 _add("w02_log_return", _holed(("r", lambda w: I.log_return("Close", w))), _PREP + f" SELECT Ticker, Date, {_r(f'ln(Close / lag(Close) {_W})')} AS r FROM g")
 _add("w03_intraday_range", _holed(("r", lambda w: I.intraday_range("High", "Low", "Open"))), _PREP + f" SELECT Ticker, Date, {_r('(High - Low) / Open * 100')} AS r FROM g")
 _add("w04_sma", _holed(*[(f"sma_{n}", lambda w, n=n: I.sma("Close", n, w)) for n in (5, 10, 20)]), _PREP + f" SELECT Ticker, Date, {', '.join(f'{_r(_full("Close", n))} AS sma_{n}' for n in (5, 10, 20))} FROM g")
-_add("w05_ema", lambda s, sf: P.with_ema(V.bars(s, sf)).select("Ticker", "Date", *_rnd("EMA_12")), f"""WITH {V.BARS}
-SELECT Ticker, Date, {_r("list_reduce(list(Close) OVER (PARTITION BY Ticker ORDER BY Date), lambda a, x: a * (1 - 2.0::DOUBLE / 13) + x * (2.0::DOUBLE / 13))")} AS "EMA_12" FROM bars""")
+_A = "(2.0::DOUBLE / 13)"
+_EMA_FOLD = f"""list_reduce(list({{'y': Close, 'g': 0}}) OVER (PARTITION BY Ticker ORDER BY Date), lambda s, r: CASE WHEN r.y IS NULL THEN {{'y': s.y, 'g': s.g + 1}}
+  WHEN s.y IS NULL THEN {{'y': r.y, 'g': 0}} ELSE {{'y': (pow(1 - {_A}, s.g + 1) * s.y + {_A} * r.y) / (pow(1 - {_A}, s.g + 1) + {_A}), 'g': 0}} END).y"""
+_add("w05_ema", lambda s, sf: P.with_ema(holes(s, sf)).select("Ticker", "Date", *_rnd("EMA_12")), f"WITH {V.BARS}, {HOLES} SELECT Ticker, Date, {_r(_EMA_FOLD)} AS \"EMA_12\" FROM holes")
 _add("w06_volatility", lambda s, sf: (lambda w: holes(s, sf).withColumn("d", I.daily_return("Close", w)).select("Ticker", "Date", I.volatility(F.col("d"), 10, w).alias("v")).select("Ticker", "Date", *_rnd("v")))(I.by_ticker()), _PREP + f", d AS (SELECT Ticker, Date, (f / {_before(1)} - 1) * 100 AS d FROM g) SELECT Ticker, Date, {_r(_full('d', 10, 'stddev_samp'))} AS v FROM d")
 _add("w07_rsi", lambda s, sf: (lambda w: V.bars(s, sf).withColumn("c", F.col("Close") - F.lag("Close").over(w)).select("Ticker", "Date", I.rsi(F.col("c"), 14, w).alias("v")).select("Ticker", "Date", *_rnd("v")))(I.by_ticker()), f"""WITH {V.BARS},
 c AS (SELECT Ticker, Date, Close - lag(Close) {_W} AS c FROM bars), u AS (SELECT Ticker, Date, CASE WHEN c > 0 THEN c WHEN c <= 0 THEN 0 END AS up, CASE WHEN c < 0 THEN -c WHEN c >= 0 THEN 0 END AS dn FROM c),
@@ -247,12 +250,16 @@ _add("u02_union_distinct_key", lambda s, sf: R.first_per_key(R.union_all(V.table
 
 
 def _wide(s, sf):
-    rows = V.bars(s, sf).filter("Ticker in ('1', '2', '3')")
-    wide = rows.groupBy("Date").agg(*[F.max(F.when(F.col("Ticker") == t, F.col(f))).alias(f"{t}.NS|{f}") for t in "123" for f in ("Open", "Close", "Volume")])
-    return R.wide_to_long(wide, ["1.NS", "2.NS", "3.NS"], ["Open", "Close", "Volume"])
+    """All tickers as columns, and back; the tickers are the one thing that the driver has to know."""
+    rows = V.bars(s, sf)
+    tickers = sorted(r.Ticker for r in rows.select("Ticker").distinct().collect())
+    fields = ["Open", "Close", "Volume"]
+    wide = rows.groupBy("Date").pivot("Ticker", tickers).agg(*[F.first(f).alias(f) for f in fields])
+    wide = wide.toDF("Date", *[f"{t}.NS|{f}" for t in tickers for f in fields])
+    return R.wide_to_long(wide, [f"{t}.NS" for t in tickers], fields)
 
 
-_add("u03_wide_to_long", _wide, f"WITH {V.BARS} SELECT Date, Ticker, {_r('Open', 2)} AS Open, {_r('Close', 2)} AS Close, Volume FROM bars WHERE Ticker IN ('1', '2', '3')")
+_add("u03_wide_to_long", _wide, f"WITH {V.BARS} SELECT Date, Ticker, {_r('Open', 2)} AS Open, {_r('Close', 2)} AS Close, Volume FROM bars")
 _add("u05_tensors", lambda s, sf: D.tensors(D.complete(D.lagged(V.bars(s, sf).select("Ticker", "Date", "Open", "Close"), ["Open", "Close"], 3)), ["Open", "Close"], 3), f"""WITH {V.BARS}, q AS (SELECT Ticker, Date, list([Open, Close]) OVER (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS x, lead(Close) {_W} AS y FROM bars)
 SELECT Ticker, Date, x FROM q WHERE len(x) = 4 AND y IS NOT NULL""")
 
@@ -265,10 +272,14 @@ _add("t03_teasers", lambda s, sf: V.table(s, sf, "part").select("p_partkey", C.w
 _add("t04_whitespace", lambda s, sf: _D(s, sf).select("doc_id", F.md5(C.squeezed(F.col("text"))).alias("h")), r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g'))) AS h FROM documents")
 _add("t05_domain", lambda s, sf: V.news(s, sf).select("doc_id", C.source_domain(F.col("url")).alias("domain")), _N + r"SELECT doc_id, nullif(regexp_extract(url, 'https?://(?:www\.)?([\w\-]+\.\w+)', 1), '') AS domain FROM news")
 _add("t07_alnum", lambda s, sf: _D(s, sf).select("doc_id", F.md5(C.alnum_only(F.lower("text"))).alias("h")), r"SELECT doc_id, md5(regexp_replace(lower(text), '[^a-zA-Z0-9\s\x{00A0}]', '', 'g')) AS h FROM documents")
-_add("t08_tokens", lambda s, sf: _D(s, sf).select("doc_id", F.size(C.tokens(F.col("text"))).alias("n")), r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[\s\x{00A0}]+'), lambda t: t <> '')) AS INTEGER) AS n FROM documents")
+_add("t08_tokens", lambda s, sf: _D(s, sf).select("doc_id", F.size(C.tokens(F.col("text"))).alias("n"), F.md5(F.array_join(C.tokens(F.col("text")), "|")).alias("h")), r"SELECT doc_id, CAST(len(w) AS INTEGER) AS n, md5(array_to_string(w, '|')) AS h FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x{00A0}]+'), lambda t: t <> '') AS w FROM documents)")
 _STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
-_add("t09_stop_words", lambda s, sf: _D(s, sf).select("doc_id", F.size(C.without_stop_words(C.tokens(F.lower("text")))).alias("n")), rf"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[\s\x{{00A0}}]+'), lambda t: t <> '' AND t NOT IN ({_STOP}))) AS INTEGER) AS n FROM documents")
-_add("t10_normalised_text", lambda s, sf: _D(s, sf).select("doc_id", C.normalised_text(F.col("text")).alias("t")))
+_add("t09_stop_words", lambda s, sf: _D(s, sf).select("doc_id", F.md5(F.array_join(C.without_stop_words(C.tokens(F.lower("text"))), " ")).alias("h")), rf"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(lower(text), '[\s\x{{00A0}}]+'), lambda t: t <> '' AND t NOT IN ({_STOP})), ' ')) AS h FROM documents")
+_LEMMA = "CASE " + " ".join(f"WHEN t = '{a}' THEN '{b}'" for a, b in C._IRREGULAR.items()) + r""" WHEN regexp_matches(t, '[^aeiou]ies$') AND length(t) > 4 THEN regexp_replace(t, 'ies$', 'y')
+  WHEN regexp_matches(t, '(ss|x|z|ch|sh)es$') THEN regexp_replace(t, 'es$', '') WHEN regexp_matches(t, '[^su]s$') AND length(t) > 3 THEN regexp_replace(t, 's$', '') ELSE t END"""
+_add("t10_normalised_text", lambda s, sf: _D(s, sf).select("doc_id", F.md5(C.normalised_text(F.col("text"))).alias("h")), rf"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-zA-Z0-9\s\x{{00A0}}]', '', 'g'), '[\s\x{{00A0}}]+'), lambda t: t <> '' AND t NOT IN ({_STOP})) AS w FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(w, lambda t: {_LEMMA}), ' ')) AS h FROM t""")
 _add("t12_title_and_body", lambda s, sf: V.news(s, sf).select("doc_id", C.title_and_body(F.col("title"), F.col("news")).alias("t")), _N + "SELECT doc_id, substring(coalesce(title, '') || '. ' || substring(coalesce(news, ''), 1, 300), 1, 512) AS t FROM news")
 _add("t13_suffix", lambda s, sf: V.table(s, sf, "nation").select(F.upper(C.without_suffix(F.concat(F.lower("n_name"), F.lit(".NS")), ".NS")).alias("t")), "SELECT upper(n_name) AS t FROM nation")
 
@@ -333,7 +344,12 @@ def _search(s, sf):
     return made.select("trial_id", "feature", *_rnd("val_loss", digits=2))
 
 
-_add("l05_grid_search", _search)
+_SPLIT = f"""{_PRED.replace("Close AS prediction", "Open, High, Low, Close")}, d AS (SELECT DISTINCT Date FROM p), o AS (SELECT Date, row_number() OVER (ORDER BY Date) AS i, count(*) OVER () AS n FROM d),
+q AS (SELECT p.*, CASE WHEN i <= floor(n * 0.8) THEN 'train' WHEN i <= floor(n * 0.9) THEN 'validation' ELSE 'test' END AS split FROM p JOIN o USING (Date))"""
+_add("l05_grid_search", _search, _SPLIT + " UNION ALL ".join(
+    f" SELECT {i} AS trial_id, '{f}' AS feature, {_r('avg(pow(target_close - ({0} * a + b), 2))'.format(f), 2)} AS val_loss FROM q, (SELECT regr_slope(target_close, {f}) AS a, regr_intercept(target_close, {f}) AS b FROM q WHERE split = 'train') WHERE split = 'validation'"
+    for i, f in enumerate(("Open", "High", "Low", "Close"))
+))
 
 
 # --- further operators of the inventory ------------------------------------
@@ -371,7 +387,7 @@ def _landed_prices(s, sf):
 def _trial_logs(s, sf):
     path = S.fresh_path(s, "trials")
     V.table(s, sf, "supplier").select(F.col("s_suppkey").alias("trial_id"), F.col("s_acctbal").alias("val_loss")).write.json(path)
-    return E.best_trial(s.read.schema("trial_id long, val_loss double").json(path))
+    return E.best_trial(S.trials(s, path, one_each=False))
 
 
 _add("s02_csv_round_trip_nation", lambda s, sf: (lambda p: (S.write_csv(V.table(s, sf, "nation"), p), S.read_csv(s, p, "n_nationkey int, n_name string, n_regionkey int"))[1])(S.fresh_path(s, "nation")), "SELECT * FROM nation")
@@ -382,17 +398,192 @@ _add("s14_trial_logs", _trial_logs, "SELECT s_suppkey AS trial_id, s_acctbal AS
 _add("k06_predictions_written", _predictions_written, f"{_PRED} SELECT Ticker, Date, target_close AS actual, prediction FROM p")
 _add("o02_resorted_chunks", lambda s, sf: _resumed(s, sf).orderBy("o_totalprice", "o_orderkey"), "SELECT o_orderkey, o_totalprice, CAST(o_orderkey % 4 AS BIGINT) AS chunk FROM orders ORDER BY 2, 1")
 _add("j06_global_scaling", lambda s, sf: (lambda b: D.scaled(b, D.fit_min_max(b, ["Open", "Close"]), ["Open", "Close"]).select("Ticker", "Date", *_rnd("Open", "Close", digits=6)))(V.bars(s, sf).select("Ticker", "Date", "Open", "Close")), f"WITH {V.BARS}, m AS (SELECT min(Open) AS ol, max(Open) AS oh, min(Close) AS cl, max(Close) AS ch FROM bars) SELECT Ticker, Date, {_r('(Open - ol) / (oh - ol)', 6)} AS Open, {_r('(Close - cl) / (ch - cl)', 6)} AS Close FROM bars, m")
-_add("j07_aligned_predictions", lambda s, sf: V.bars(s, sf).select("Ticker", "Date", F.col("Close").alias("actual")).join(_predicted(s, sf).select("Ticker", "Date", "prediction"), ["Ticker", "Date"]), f"{_PRED} SELECT Ticker, Date, prediction AS actual, prediction FROM p")
+
+
+def _aligned(s, sf):
+    """Predictions stand at the day they are for, beside that day's close."""
+    w = I.by_ticker()
+    ahead = V.bars(s, sf).select("Ticker", F.lead("Date").over(w).alias("Date"), F.col("Close").alias("prediction")).filter("Date is not null")
+    return V.bars(s, sf).select("Ticker", "Date", F.col("Close").alias("actual")).join(ahead, ["Ticker", "Date"])
+
+
+_add("j07_aligned_predictions", _aligned, f"WITH {V.BARS} SELECT Ticker, Date, Close AS actual, lag(Close) {_W} AS prediction FROM bars QUALIFY prediction IS NOT NULL")
 _add("a13_metrics_top_tickers", lambda s, sf: E.regression(_predicted(s, sf).join(R.top_keys(V.bars(s, sf), "Ticker", 5).select("Ticker"), "Ticker", "left_semi"), "target_close", "prediction", ["Ticker"]).select("Ticker", *_rnd("mae", "rmse")), f"{_PRED}, k AS (SELECT Ticker FROM bars GROUP BY 1 ORDER BY count(*) DESC, Ticker LIMIT 5) SELECT Ticker, {_r('avg(abs(target_close - prediction))')} AS mae, {_r('sqrt(avg((target_close - prediction) * (target_close - prediction)))')} AS rmse FROM p WHERE Ticker IN (SELECT Ticker FROM k) GROUP BY 1")
 _add("u04_flattened_windows", lambda s, sf: _D(s, sf).select("doc_id", F.posexplode(C.tokens(F.col("text"))).alias("pos", "token")), r"SELECT doc_id, CAST(unnest(range(0, len(w))) AS INTEGER) AS pos, unnest(w) AS token FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x{00A0}]+'), lambda t: t <> '') AS w FROM documents)")
 _add("t06_lower", lambda s, sf: V.table(s, sf, "customer").select("c_custkey", F.lower("c_mktsegment").alias("t")), "SELECT c_custkey, lower(c_mktsegment) AS t FROM customer")
-_add("t11_joined_tokens", lambda s, sf: _D(s, sf).select("doc_id", F.length(F.array_join(C.tokens(F.col("text")), " ")).alias("n")), r"SELECT doc_id, CAST(length(array_to_string(list_filter(regexp_split_to_array(text, '[\s\x{00A0}]+'), lambda t: t <> ''), ' ')) AS INTEGER) AS n FROM documents")
+_add("t11_joined_tokens", lambda s, sf: _D(s, sf).select("doc_id", F.md5(F.array_join(C.tokens(F.col("text")), " ")).alias("h")), r"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '[\s\x{00A0}]+'), lambda t: t <> ''), ' ')) AS h FROM documents")
 _add("m02_maths", lambda s, sf: V.table(s, sf, "customer").select("c_custkey", C.rounded(F.ln(F.abs("c_acctbal") + 1), 6).alias("ln"), C.rounded(F.sqrt(F.abs("c_acctbal")), 6).alias("root"), C.clipped(F.col("c_acctbal"), 0.0, 5000.0).alias("clipped")), f"SELECT c_custkey, {_r('ln(abs(c_acctbal) + 1)', 6)} AS ln, {_r('sqrt(abs(c_acctbal))', 6)} AS root, least(greatest(c_acctbal, 0.0::DOUBLE), 5000.0::DOUBLE) AS clipped FROM customer")
 _add("m04_polarity", lambda s, sf: M.LexiconScorer().score(V.table(s, sf, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", C.rounded(C.polarity(F.col("pos"), F.col("neg")), 6).alias("polarity")), rf"""
 WITH t AS (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(lower(text), '[^a-zA-Z0-9\s\x{{00A0}}]', '', 'g'), '[\s\x{{00A0}}]+') AS w FROM conversations),
 c AS (SELECT conv_id, turn, len(list_filter(w, lambda x: x IN ({", ".join(f"'{w}'" for w in M.POSITIVE)}))) AS p, len(list_filter(w, lambda x: x IN ({", ".join(f"'{w}'" for w in M.NEGATIVE)}))) AS n FROM t)
 SELECT conv_id, turn, {_r('(exp(p) - exp(n)) / (exp(p) + exp(n) + exp(1))', 6)} AS polarity FROM c""")
-_add("l04_training_log", lambda s, sf: M.loss_plateau(V.table(s, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("epoch"), F.col("s_acctbal").alias("val_mse")), 15))
+_add("l04_training_log", lambda s, sf: M.loss_plateau(V.table(s, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("epoch"), F.col("s_acctbal").alias("val_mse")), 15), """
+WITH e AS (SELECT CAST(s_suppkey AS INTEGER) AS epoch, s_acctbal AS val_mse FROM supplier), b AS (SELECT *, min(val_mse) OVER (ORDER BY epoch) AS best FROM e),
+a AS (SELECT *, epoch - max(CASE WHEN val_mse = best THEN epoch END) OVER (ORDER BY epoch) AS waited FROM b),
+o AS (SELECT *, coalesce(max(waited) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM a)
+SELECT epoch, val_mse, best, waited, pow(0.5::DOUBLE, floor(waited / 7)) AS lr_factor FROM o WHERE over < 15""")
+
+
+# --- variants, and what needs several operators together --------------------
+
+
+def _csv_missing(s, sf):
+    """Numbers with every kind of missing cell."""
+    path = S.fresh_path(s, "missing-csv")
+    token = F.element_at(F.array(*map(F.lit, ["NA", "NaN", "null", ""])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = V.table(s, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, token).otherwise(F.col("p_size").cast("string")).alias("p_size"), "p_retailprice")
+    S.write_csv(rows, path)
+    return S.read_csv(s, path, "p_partkey long, p_size int, p_retailprice double", multi_line=False)
+
+
+def _csv_excluding(s, sf):
+    """A folder of files and their combination, which is left out."""
+    path = S.fresh_path(s, "with-combined")
+    V.table(s, sf, "nation").write.option("header", True).csv(f"{path}/parts")
+    combined = V.table(s, sf, "nation").coalesce(1)
+    combined.write.option("header", True).csv(f"{path}/combined")
+    names = [r.name for r in s.read.format("binaryFile").load(f"{path}/combined").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name")).collect()]
+    return S.read_csv(s, [f"{path}/parts", f"{path}/combined"], "n_nationkey int, n_name string, n_regionkey int", glob="*.csv", exclude=names)
+
+
+def _folder(s, sf):
+    """One CSV file for each nation's suppliers, keyed by its folder; read by name."""
+    path = S.fresh_path(s, "by-name")
+    V.table(s, sf, "supplier").coalesce(1).write.option("header", True).csv(path)
+    return S.read_folder_by_name(s, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").drop("ticker")
+
+
+def _landed_links(s, sf):
+    """Landed pages, their links, of these the articles that are not in the list of those seen."""
+    path = S.fresh_path(s, "pages")
+    V.table(s, sf, "pages").write.parquet(path)
+    return S.landed_pages(s, path)
+
+
+_EXCLUDED = ("/photos/", "/videos/", "/page/", "/tag/", "/author/", "/about/", "7.com")
+_add("s04_missing_numbers", _csv_missing, "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS p_size, p_retailprice FROM part")
+_add("s05_glob_excluding", _csv_excluding, "SELECT * FROM nation")
+_add("s06_folder_by_name", _folder, "SELECT * FROM supplier")
+_add("s11_landed_pages", _landed_links, "SELECT url, html FROM pages")
+_add("f06_date_window_with_null", lambda s, sf: R.within_dates(V.news(s, sf).select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("date")).alias("date")), "date", "2024-01-05", "2024-01-12", keep_null=True), _N + "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN date END AS date FROM news WHERE doc_id % 5 = 0 OR date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
+_add("f07_stale_report", lambda s, sf: R.stale_report(V.bars(s, sf).withColumn("Volume", F.when(F.col("Volume") % 2 == 0, 0).otherwise(F.col("Volume")))), f"WITH {V.BARS} SELECT Date, count(*) AS n FROM bars WHERE Volume % 2 = 0 AND Open = Close GROUP BY 1")
+_add("f12_neutral", lambda s, sf: V.news(s, sf).select("doc_id", F.md5(C.or_neutral(F.when(F.col("doc_id") % 3 != 0, F.col("title")))).alias("h")), _N + "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 OR trim(title) = '' THEN 'neutral' ELSE title END) AS h FROM news")
+_add("f13_unseen_articles", lambda s, sf: R.unseen(V.news(s, sf).filter(C.is_article_url(F.col("url"), "news", _EXCLUDED)).select("url"), V.news(s, sf).filter("source = 'src2'").select("url")), _N + "SELECT DISTINCT url FROM news WHERE regexp_matches(url, '[-/]\\d+/?$') AND NOT contains(url, '7.com') AND url NOT IN (SELECT url FROM news WHERE source = 'src2')")
+_add("j02_exact_times", lambda s, sf: R.with_ticker_news(V.intraday_bars(s, sf).withColumnRenamed("Hour", "Date").select("Ticker", "Date", "Close"), V.table(s, sf, "events").groupBy(F.col("event_type").alias("Ticker"), F.date_trunc("hour", "ts").alias("Date")).agg(F.max("value").alias("score")).filter("score > 50"), ["score"], exact=True), f"WITH i AS ({V.INTRADAY}), e AS (SELECT event_type AS Ticker, date_trunc('hour', ts) AS Hour, max(value) AS score FROM events GROUP BY 1, 2 HAVING max(value) > 50) SELECT Ticker, Hour AS \"Date\", Close, coalesce(score, 0) AS score FROM i LEFT JOIN e USING (Ticker, Hour)")
+
+_EIGHT = ["Open", "High", "Low", "Close", "Adj Close", "Volume", "n", "score"]
+_add("w11_lags_8x10", lambda s, sf: D.complete(D.lagged(R.with_news(V.bars(s, sf), daily(s, sf)).drop("news_date"), _EIGHT, 10)).select("Ticker", "Date", *[F.col(f"`{c}_lag_{i}`") for c in _EIGHT for i in (1, 5, 10)], "target_close"), _BD + f"""
+, j AS (SELECT Ticker, b.Date, Open, High, Low, Close, "Adj Close", Volume, n, score FROM bars b LEFT JOIN daily d ON b.Date = d.date),
+q AS (SELECT *, lead(Close) {_W} AS target_close, {', '.join(f'lag("{c}", {i}) {_W} AS "{c}_lag_{i}"' for c in _EIGHT for i in range(1, 11))} FROM j)
+SELECT Ticker, Date, {', '.join(f'"{c}_lag_{i}"' for c in _EIGHT for i in (1, 5, 10))}, target_close FROM q WHERE n IS NOT NULL AND score IS NOT NULL AND target_close IS NOT NULL AND {' AND '.join(f'"{c}_lag_{i}" IS NOT NULL' for c in _EIGHT for i in range(1, 11))}""")
+
+
+def _sequence_check(x: str) -> str:
+    """Long sequences as their ends, size and sum, so that 60 steps of every bar can be compared."""
+    return f"CAST(len({x}) AS INTEGER) AS n, {_r(f'{x}[1][1]', 6)} AS first, {_r(f'{x}[60][1]', 6)} AS last, {_r(f'list_sum(list_transform({x}, lambda v: v[1]))', 4)} AS total"
+
+
+def _summed(df):
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v[0])
+    return df.select("Ticker", "Date", F.size("x").alias("n"), C.rounded(F.col("x")[0][0], 6).alias("first"), C.rounded(F.col("x")[59][0], 6).alias("last"), C.rounded(total, 4).alias("total"), C.rounded(F.col("y"), 6).alias("y"))
+
+
+def _scaled_bars(s, sf):
+    b = V.bars(s, sf).select("Ticker", "Date", "Close")
+    return D.scaled(b, D.fit_min_max(b, ["Close"], ["Ticker"]), ["Close"], ["Ticker"])
+
+
+_MM = f"WITH {V.BARS}, m AS (SELECT Ticker, min(Close) AS lo, max(Close) AS hi FROM bars GROUP BY 1), c AS (SELECT Ticker, Date, (Close - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS Close, lo, hi FROM bars JOIN m USING (Ticker))"
+_60 = "OVER (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
+_add("w14_sequences_60", lambda s, sf: _summed(D.sequences((lambda w: V.bars(s, sf).select("Ticker", "Date", "Close", I.pct_change("Close", w).alias("Return")))(I.by_ticker()), ["Close"], 60, "Return", 1)), f"WITH {V.BARS}, r AS (SELECT Ticker, Date, Close, Close / lag(Close) {_W} - 1 AS ret FROM bars), q AS (SELECT Ticker, Date, list([Close]) {_60} AS x, lead(ret) {_W} AS y FROM r) SELECT Ticker, Date, {_sequence_check('x')}, {_r('y', 6)} AS y FROM q WHERE len(x) = 60 AND y IS NOT NULL")
+_add("w15_scaled_sequences_60", lambda s, sf: _summed(D.sequences(_scaled_bars(s, sf), ["Close"], 60, "Close")), f"{_MM}, q AS (SELECT Ticker, Date, list([Close]) {_60} AS x, Close AS y FROM c) SELECT Ticker, Date, {_sequence_check('x')}, {_r('y', 6)} AS y FROM q WHERE len(x) = 60 AND y IS NOT NULL")
+_add("w19_positional_split_90_10", lambda s, sf: D.positional_split(V.bars(s, sf).select("Ticker", "Date"), ["Ticker", "Date"], [("train", 0.9), ("test", 0.1)]), f"WITH {V.BARS}, p AS (SELECT Ticker, Date, row_number() OVER (ORDER BY Ticker, Date) AS i, count(*) OVER () AS n FROM bars) SELECT Ticker, Date, CASE WHEN i <= floor(n * 0.9::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM p")
+
+
+def _unscaled(s, sf):
+    b = V.bars(s, sf).select("Ticker", "Date", "Close")
+    fitted = D.fit_min_max(b, ["Close"], ["Ticker"])
+    made = D.scaled(b, fitted, ["Close"], ["Ticker"]).join(fitted, "Ticker")
+    return made.select("Ticker", "Date", C.rounded(C.min_max_inverse(F.col("Close"), F.col("Close__lo"), F.col("Close__hi")), 4).alias("Close"))
+
+
+_add("m05_inverse", _unscaled, f"{_MM} SELECT Ticker, Date, {_r('Close * CASE WHEN hi = lo THEN 1 ELSE hi - lo END + lo')} AS Close FROM c")
+
+
+def _chunk_means(s, sf):
+    """Windows of all documents as one flat table, scored, and mapped back to their documents."""
+    d = _D(s, sf).select("doc_id", C.tokens(F.col("text")).alias("w"))
+    flat = d.select("doc_id", F.explode(C.token_windows(F.col("w"))).alias("x"))
+    scored = flat.select("doc_id", (F.size("x") / 510.0).alias("pos"), (1 - F.size("x") / 510.0).alias("neg"), F.lit(0.0).alias("neu"))
+    return R.document_scores(d, scored, "doc_id").select("doc_id", *_rnd("pos", "neg", "neu", digits=6))
+
+
+_WIN = r"""
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x{00A0}]+'), lambda t: t <> '') AS w FROM documents),
+k AS (SELECT *, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 510 THEN 1 ELSE 1 + CAST(ceil((len(w) - 510) / 254.0) AS INTEGER) END AS k FROM t),
+x AS (SELECT doc_id, w, pos, list_slice(w, pos * 254 + 1, pos * 254 + 510) AS c FROM (SELECT doc_id, w, unnest(range(0, k)) AS pos FROM k))"""
+_add("u04_scores_mapped_back", _chunk_means, f"WITH {_WIN}, m AS (SELECT doc_id, avg(len(c) / 510.0::DOUBLE) AS p FROM x GROUP BY 1) SELECT doc_id, {_r('coalesce(p, 0)', 6)} AS pos, {_r('coalesce(1 - p, 0)', 6)} AS neg, CASE WHEN p IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS neu FROM documents LEFT JOIN m USING (doc_id)")
+
+
+def _encoded(s, sf):
+    ids = F.transform(C.tokens(F.col("text")), lambda t: F.length(t) + 1000)
+    d = _D(s, sf).select("doc_id", F.posexplode(C.encoded_windows(ids)).alias("pos", "x"))
+    return d.select("doc_id", "pos", F.md5(F.array_join(F.transform("x.ids", lambda i: i.cast("string")), " ")).alias("h"), F.aggregate("x.mask", F.lit(0), lambda a, m: a + m).alias("used"), F.size("x.ids").alias("n"))
+
+
+_add("t14_encoded_windows", _encoded, f"WITH {_WIN}, e AS (SELECT doc_id, pos, list_concat(list_concat([101], list_transform(c, lambda t: CAST(length(t) + 1000 AS INTEGER))), [102]) AS i FROM x) SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(array_to_string(list_concat(i, list_transform(range(512 - len(i)), lambda z: 0)), ' ')) AS h, CAST(len(i) AS INTEGER) AS used, 512 AS n FROM e")
+_add("k07_error_histogram", lambda s, sf: E.error_histogram(_predicted(s, sf), "target_close", "prediction", 50.0), f"{_PRED} SELECT floor((target_close - prediction) / 50.0) * 50.0::DOUBLE AS bin, count(*) AS n FROM p GROUP BY 1")
+_add("k07_plot_series", lambda s, sf: E.plot_series(_predicted(s, sf), R.top_keys(V.bars(s, sf), "Ticker", 3).select("Ticker"), "target_close", "prediction"), f"{_PRED}, k AS (SELECT Ticker FROM bars GROUP BY 1 ORDER BY count(*) DESC, Ticker LIMIT 3), u AS (SELECT * FROM p WHERE Ticker IN (SELECT Ticker FROM k)) SELECT Ticker, Date, 'actual' AS kind, target_close AS value FROM u UNION ALL SELECT Ticker, Date, 'predicted', prediction FROM u")
+
+# Regression on lags: no SQL solves it; tests hold it against numpy's least squares.
+_LAGS = [f"Close_lag_{i}" for i in range(1, 11)] + ["Close"]
+
+
+def _lag_rows(s, sf):
+    return D.chronological_split(D.complete(D.lagged(V.bars(s, sf).select("Ticker", "Date", "Close"), ["Close"], 10)))
+
+
+def _lag_regression(s, sf):
+    rows = _lag_rows(s, sf)
+    fitted = M.LagRegression(_LAGS, solver="normal").fit(rows.filter("split = 'train'"))
+    return fitted.predict(rows.filter("split = 'test'")).select("Ticker", "Date", "target_close", *_rnd("prediction", digits=2))
+
+
+def _ridge_search(s, sf):
+    path = S.fresh_path(s, "lags")  # read by every trial
+    rows = S.stage(s, path, lambda: _lag_rows(s, sf))
+    return M.ridge_search(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), _LAGS, {"ridge": [0.0, 0.1, 1.0], "lasso_share": [0.0, 0.5]}).select("trial_id", "ridge", "lasso_share", *_rnd("val_loss", digits=2))
+
+
+def _skipped_training(s, sf):
+    """A model is fitted and saved by the first call and only loaded by the second one, which never sees a training row."""
+    path, rows = S.fresh_path(s, "model"), _lag_rows(s, sf)
+    M.LagRegression(_LAGS, solver="normal").fit_or_load(rows.filter("split = 'train'"), path)
+    again = M.LagRegression(_LAGS, solver="normal").fit_or_load(rows.limit(0), path)
+    return E.regression(again.predict(rows.filter("split = 'test'")), "target_close", "prediction").select(*_rnd("mse", "mae", "rmse", "mape", digits=2))
+
+
+def _run_saved(s, sf):
+    """A run's predictions, loss by iteration and weights, written side by side."""
+    path, rows = S.fresh_path(s, "run"), _lag_rows(s, sf)
+    fitted = M.LagRegression(_LAGS, solver="l-bfgs", rounds=20).fit(rows.filter("split = 'train'"))
+    S.save_run(fitted.predict(rows.filter("split = 'test'")).select("Ticker", "Date", "target_close", "prediction"), fitted.log, fitted.model, path)
+    return M.loss_plateau(s.read.parquet(f"{path}/log"), 15).select("epoch", *_rnd("val_mse", digits=2))
+
+
+_add("l03_lag_regression", _lag_regression)
+_add("l04_run_saved", _run_saved)
+_add("l05_ridge_search", _ridge_search)
+_add("l06_training_skipped", _skipped_training)
+
+
+def _phases(s, sf):
+    made = PH.run(s, V.news(s, sf).withColumn("date", F.col("date").cast("string")), V.bars(s, sf).drop("Adj Close"), V.sectors(s, sf), S.fresh_path(s, "phases"), "1990-01-01", "2030-01-01")
+    return made["calendar"].join(made["volume"].select("Date", "Num_Articles"), "Date", "full")
+
+
+_add("p01_four_phases", _phases, f"""WITH {V.BARS}, {V.NEWS}, c AS (SELECT Date, count(DISTINCT Ticker) AS "Num_Tickers", dayname(Date) AS "Day_Of_Week" FROM bars WHERE NOT (Volume = 0 AND Open = Close) GROUP BY 1),
+v AS (SELECT date AS "Date", count(title) AS "Num_Articles" FROM news WHERE length(title) > 3 AND length(news) >= 100 GROUP BY 1) SELECT coalesce(c.Date, v.Date) AS "Date", "Num_Tickers", "Day_Of_Week", "Num_Articles" FROM c FULL JOIN v ON c.Date = v.Date""")
 
 
 def queries() -> dict:
