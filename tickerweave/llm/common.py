@@ -117,9 +117,9 @@ def add_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def join_small(left: DataFrame, right: DataFrame, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join on KEY; ``right`` (a written table) is broadcast when it has at most ``limit`` rows, else both sides are shuffled."""
-    return left.join(F.broadcast(right) if right.count() <= limit else right, KEY, how)
+def join_small(left: DataFrame, right: DataFrame, how: str, limit: int = BROADCAST_ROWS, on: str = KEY) -> DataFrame:
+    """Join on KEY (or ``on``); ``right`` (a written table) is broadcast when it has at most ``limit`` rows, else both sides are shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
 
 
 _USED: dict | None = None
