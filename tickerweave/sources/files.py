@@ -78,9 +78,14 @@ def read_folder_by_name(spark: SparkSession, path: str, schema: str | T.StructTy
 
 
 def skipped_files(spark: SparkSession, path: str, read: DataFrame) -> DataFrame:
-    """(ticker) of the CSV files in a folder that gave ``read_folder_by_name`` no row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    names = files.select(F.upper(F.regexp_extract(F.col("path"), r"([^/]*)\.csv$", 1)).alias("ticker"))
+    """(ticker) of the CSV files in a folder that gave ``read_folder_by_name`` no row.
+
+    The folder is listed by the file system, as Spark's own listing leaves files of no bytes out.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    files = [f.getPath().getName() for f in listed if f.isFile()]
+    names = spark.createDataFrame([(f[:-4].upper(),) for f in files if f.endswith(".csv") and f[0] not in "._"], "ticker string")
     return names.join(read.select("ticker").distinct(), "ticker", "left_anti")
 
 
