@@ -48,6 +48,24 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
 
 
+def test_phases_measure_articles_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    for p in SF.glob("*.parquet"):
+        (tmp_path / p.name).symlink_to(p) if p.stem != "documents" else None
+    # 99 characters that are 101 once line ends are '. ', 103 that are 97 once white space is squeezed, and one that is long either way
+    texts = ["a" * 49 + "\n" + "b" * 24 + "\n" + "c" * 24, "title\n" + "a" * 45 + " " * 7 + "b" * 45, "title\n" + "a" * 200]
+    assert [len(t) for t in texts] == [99, 103, 206]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.Date: r.Num_Articles for r in __spark_entry__.queries()["p01_four_phases"](spark, str(tmp_path)).collect() if r.Num_Articles}
+    con = duckdb.connect()
+    for p in tmp_path.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
+    rows = con.execute(f"SELECT \"Date\", \"Num_Articles\" FROM ({catalog.oracle_sql()['p01_four_phases']}) WHERE \"Num_Articles\" IS NOT NULL").fetchall()
+    assert got == dict(rows) and len(rows) == 2
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

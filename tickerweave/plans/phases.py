@@ -17,11 +17,16 @@ def merged_news(news: DataFrame) -> DataFrame:
     return R.first_per_key(rows, ["url"], [F.asc_nulls_last("date"), "title", "news"])
 
 
-def cleaned_news(merged: DataFrame, start: str, end: str) -> DataFrame:
-    """Phase 2: texts cleaned, short ones dropped, days within the window, the source's domain."""
+def cleaned_news(merged: DataFrame, start: str, end: str, as_landed: bool = False) -> DataFrame:
+    """Phase 2: texts cleaned, short ones dropped, days within the window, the source's domain.
+
+    Texts are measured after they were cleaned (a line end is '. ' by then), or as they landed with ``as_landed``.
+    """
     rows = R.within_dates(merged, "date", start, end)
+    if as_landed:
+        rows = R.long_enough(rows, title=1, news=100)
     rows = rows.withColumns({"title": C.clean_article(C.newlines_to_stops(F.col("title"))), "news": C.clean_article(C.newlines_to_stops(F.col("news"))), "source": C.source_domain(F.col("url"))})
-    return R.long_enough(rows, title=1, news=100)
+    return rows if as_landed else R.long_enough(rows, title=1, news=100)
 
 
 def cleaned_prices(prices: DataFrame, sectors: DataFrame, start: str, end: str) -> DataFrame:
@@ -30,11 +35,11 @@ def cleaned_prices(prices: DataFrame, sectors: DataFrame, start: str, end: str)
     return R.lookup(rows, sectors, "Ticker")
 
 
-def run(spark: SparkSession, news: DataFrame, prices: DataFrame, sectors: DataFrame, out: str, start: str, end: str, force: bool = False) -> dict[str, DataFrame]:
+def run(spark: SparkSession, news: DataFrame, prices: DataFrame, sectors: DataFrame, out: str, start: str, end: str, force: bool = False, as_landed: bool = False) -> dict[str, DataFrame]:
     """news, prices, features, calendar and volume; a phase whose output is in ``out`` already is not run again (unless ``force``)."""
     made: dict[str, DataFrame] = {}
     made["merged"] = S.stage(spark, f"{out}/merged", lambda: merged_news(news), force)
-    made["news"] = S.stage(spark, f"{out}/news", lambda: cleaned_news(made["merged"], start, end), force)
+    made["news"] = S.stage(spark, f"{out}/news", lambda: cleaned_news(made["merged"], start, end, as_landed), force)
     made["prices"] = S.stage(spark, f"{out}/prices", lambda: cleaned_prices(prices, sectors, start, end), force)
     made["features"] = S.stage(spark, f"{out}/features", lambda: P.price_features(made["prices"]), force)
     made["calendar"] = S.stage(spark, f"{out}/calendar", lambda: R.trading_calendar(made["prices"]), force)
