@@ -64,6 +64,17 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(map(tuple, again.select("doc_id", "n_tokens").collect()), key=str) == sorted(map(tuple, seen[4].select("doc_id", "n_tokens").collect()), key=str)
 
 
+def test_near_duplicates_of_unlike_sizes_go(spark):
+    rng = random.Random(61)
+    rows = []
+    for k in range(20):
+        w = words(rng, 100).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, f"{words(rng, 200)} {' '.join(w[:70])} {words(rng, 50)}")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert set(range(1, 40, 2)) <= kept and len(kept) <= 22
+
+
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, tmp_path, [])).count() == 0
 
