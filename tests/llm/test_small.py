@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -564,6 +565,19 @@ def test_edit_distance_and_groups(spark):
     assert all(r.distance == edit_embedding.edit_distance(texts[r.doc_id], texts[r.group_id]) for r in got)
 
 
+def test_edit_groups_leave_no_texts_on_disk(spark, monkeypatch):
+    made, cut = [], edit_embedding.cut
+
+    def spy(df):
+        made.append(cut(df))
+        return made[-1]
+
+    monkeypatch.setattr(edit_embedding, "cut", spy)
+    assert edit_embedding.edit_groups(table(spark, corpus(11, 8))).count() > 0
+    held = [df for df in made if {"text", "buckets"} & set(df.columns)]
+    assert len(held) >= 3 and not any(Path(df._tw_path.removeprefix("file:")).exists() for df in held)
+
+
 def test_edit_filter_is_a_lower_bound():
     rng = random.Random(59)
     for _ in range(200):
