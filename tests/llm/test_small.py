@@ -643,6 +643,33 @@ def test_edit_candidates_up_to_the_limit(n, by_words):
     assert np.mean(high) >= 0.9
 
 
+def test_texts_that_share_a_line_are_told_apart_by_signature():
+    """Near copies at the limit pass the sieve, also around a stretch taken out; texts that merely share a line do not."""
+    rng = random.Random(83)
+    some = ["".join(rng.choice("aehinorst") for _ in range(rng.randrange(2, 9))) for _ in range(150)]
+
+    def prose(n):
+        return " ".join(rng.choice(some) for _ in range(n))
+
+    def passing(pairs):
+        x, y = ([edit_embedding.signature(edit_embedding.symbols(p[i]).astype(np.uint64)) for p in pairs] for i in (0, 1))
+        return edit_embedding.close(0.15)(*(np.array([np.frombuffer(v, np.uint8) for v in z]) for z in (x, y))).mean()
+
+    line, bases = prose(14), [prose(n) for n in (80, 120, 200, 350) for _ in range(40)]
+    assert passing([(f"{line}\n{a}", f"{line}\n{prose(len(a.split()))}") for a in bases]) < 0.1
+    assert passing([(a, scattered(rng, a, 0.14, False)) for a in bases]) >= 0.97
+    assert passing([(a, a[: (at := rng.randrange(len(a) * 6 // 7))] + a[at + len(a) // 7 :]) for a in bases]) == 1
+
+
+def test_edit_distances_on_both_sides_of_the_longest_text_for_arrays():
+    rng, pairs = random.Random(89), []
+    for n, cut_ in ((95, 0), (101, 20), (99, 3), (120, 40), (90, 30), (104, 1)):
+        a = "".join(rng.choice("abcd") for _ in range(n))
+        pairs.append((a, scattered(rng, a, 0.4, False)[cut_:]))
+    got = edit_embedding.edit_distances(pairs, [max(map(len, p)) for p in pairs], alone=100, few=2)
+    assert got == [edit_embedding.edit_distance(*p) for p in pairs]
+
+
 def repeats(rows, least):
     """Marked words by (doc_id, kind), by counting windows."""
     rows = sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
