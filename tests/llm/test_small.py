@@ -320,6 +320,25 @@ def test_mixing_meets_budgets(spark, model):
         assert sum(count(r.text) for r in got if r.text) == small
 
 
+def test_tokens_counted_by_the_batch_are_those_of_each_text():
+    """Units come from whole batches; a word that comes once is not remembered, nor is a full stop counted with each word anew."""
+    rng = random.Random(97)
+    plain = ["".join(rng.choice("aehinorstéß日") for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    ends = ["", "", ",", ".", "...", "?!", "%", "\U0001f600", '."']
+    texts = [rng.choice([" ", " ", " ", "\n", "\n\n"]).join(rng.choice(plain) + rng.choice(ends) for _ in range(rng.randrange(1, 60))) for _ in range(80)]
+    texts += ["", None, " a b", "a  b", "a ", "a\nb ", "\n", ".", " ", "▁a b▁", "x\n\ny."]
+    u = unigram.Unigram(unigram.vocabulary())
+    want = [sum(map(u.count, u.units(t))) if t else 0 for t in texts]
+    for most, size in ((300_000, 4_000_000), (5, 300)):
+        assert token_counts.count_tokens(pa.array(texts, pa.string()), u, unigram.Counts(u, most), size).tolist() == want
+    asked, once, count = [], "some word here some word. here once", u.count
+    u.count = lambda unit: asked.append(unit) or count(unit)
+    counts = unigram.Counts(u)
+    token_counts.count_tokens(pa.array([once]), u, counts)
+    assert asked.count("▁some") == 1 and "▁word." not in asked
+    assert "▁some" in counts and "▁once" not in counts
+
+
 def test_mixing_is_not_bound_by_the_smallest_source():
     def shares(tokens, **more):
         return mixing.budgets(tokens, {s: t**0.5 for s, t in tokens.items()}, **more)

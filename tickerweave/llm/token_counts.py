@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, ready
-from .unigram import MODEL, loaded, vocabulary
+from .common import alone, ready, trim
+from .unigram import MODEL, SPACE, Counts, Unigram, loaded, vocabulary
+
+
+def count_tokens(texts: pa.Array, unigram: Unigram, counts: Counts, size: int = 16_000_000) -> np.ndarray:
+    """Number of tokens of each text; its units are ``Unigram.units``, each different one of about ``size`` bytes of text is looked up once."""
+    if len(texts) > 1 and texts.nbytes > size:
+        half = len(texts) // 2
+        return np.concatenate([count_tokens(x, unigram, counts, size) for x in (texts[:half], texts[half:])])
+    texts = pc.fill_null(texts, "")
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.starts_with(texts, " ")).to_numpy(zero_copy_only=False)
+    plain = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
+    out = np.zeros(len(texts), np.int64)
+    for i in np.flatnonzero(odd).tolist():
+        out[i] = sum(map(counts.__getitem__, unigram.units(texts[i].as_py())))
+    if len(plain):
+        marked = pc.replace_substring(pc.replace_substring(texts.take(pa.array(plain)), " ", f" {SPACE}"), "\n", " \n ")
+        units = pc.split_pattern(pc.binary_join_element_wise(SPACE, marked, ""), " ")
+        coded = pc.dictionary_encode(units.flatten())
+        at = coded.indices.to_numpy()
+        many = counts.of(coded.dictionary.to_pylist(), np.bincount(at))
+        out[plain] = np.add.reduceat(many[at], units.offsets.to_numpy()[:-1])
+    return out
 
 
 def count_column(spark, text: Column, model: str = MODEL) -> Column:
     """Number of tokens of ``text``; 0 for a null or empty one."""
     shared = ready(spark).sparkContext.broadcast(vocabulary(model))
 
-    @F.pandas_udf("long")
-    def count(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def count(text: pa.Array) -> pa.Array:
         unigram, counts, _ = loaded(shared)
-        units, get = unigram.units, alone(counts).__getitem__
-        return pd.Series([sum(map(get, units(t))) if t else 0 for t in text], dtype="int64")
+        made = pa.array(count_tokens(text, unigram, alone(counts)))
+        trim()
+        return made
 
     return count(text.cast("string"))
 

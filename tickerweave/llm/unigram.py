@@ -55,6 +55,7 @@ class Unigram:
             self.auto.add_word(text, (len(text), score, i))
         self.auto.make_automaton()
         self.single = {text for text, _, _ in vocab["pieces"] if len(text) == 1}
+        self.joined = {text[i : i + 2] for text, _, _ in vocab["pieces"] for i in range(len(text) - 1)}
         self.longest = max(len(text) for text, _, _ in vocab["pieces"])
         self.unknown = min(s for _, s, _ in vocab["pieces"]) - 10.0
         self.byte, self.raw = vocab["byte"], vocab["raw"]
@@ -141,7 +142,30 @@ class Counts(dict):
 
     def __init__(self, model: Unigram, most: int = 300_000):
         super().__init__()
-        self.model, self.most = model, most
+        self.model, self.most, self.seen = model, most, bytearray(1 << 21)
+
+    def of(self, units: list[str], often: np.ndarray) -> np.ndarray:
+        """Those of different units that occur so often; one that occurs once is remembered when it comes again.
+
+        A last character that no piece joins to the one before it (a full stop
+        after a letter) is counted by itself.
+        """
+        made, seen, last, joined = list(map(self.get, units)), self.seen, len(self.seen) - 1, self.model.joined
+        for i in [i for i, x in enumerate(made) if x is None]:
+            unit, end, many = units[i], 0, None
+            if len(unit) > 1 and unit[-2:] not in joined:
+                unit, end = unit[:-1], self[unit[-1]]
+                many = self.get(unit)
+            if many is None:
+                many, at = self.model.count(unit), hash(unit) & last
+                if often[i] > 1 or seen[at]:
+                    if len(self) >= self.most:
+                        self.clear()
+                        seen[:] = bytes(len(seen))
+                    self[unit] = many
+                seen[at] = 1
+            made[i] = many + end
+        return np.array(made, np.int64)
 
     def __missing__(self, unit: str) -> int:
         if len(self) >= self.most:
