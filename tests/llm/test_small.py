@@ -825,3 +825,55 @@ def test_context_vectors_by_hand():
     total = np.zeros((5, 4), np.int32)
     quality.contexts([np.array([0, 1, 2], np.int32), np.array([3], np.int32)], index, total, 1)
     assert total[:4].tolist() == [[0, 1, 0, 0], [1, 0, 1, 0], [0, 1, 0, 0], [0, 0, 0, 0]]
+
+
+def components_by_hand(pairs):
+    root = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {(x, top(x)) for x in root}
+
+
+def test_few_edges_are_joined_by_one_task_and_many_by_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    # negative keys, repeated and turned edges, a path whose keys go up and down, and pairs of one key with itself
+    pairs = [(rng.randrange(-900, 900), rng.randrange(-900, 900)) for _ in range(700)]
+    path = [x for n in range(60) for x in (5000 + n, 9000 - n)]
+    pairs += [(b, a) for a, b in pairs[:50]] + list(zip(path, path[1:]))
+    edges = spark.createDataFrame(pairs + [(7777, 7777)], "a long, b long")
+    want, jobs = components_by_hand([p for p in pairs if p[0] != p[1]]), {}
+    for most in (common.EDGES, 0):
+        monkeypatch.setattr(common, "EDGES", most)
+        spark.sparkContext.setJobGroup(f"edges{most}", "")
+        got = [tuple(r) for r in common.components(edges).select(common.KEY, "comp").collect()]
+        jobs[most] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"edges{most}"))
+        assert len(got) == len(want) and set(got) == want
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] > 15 and min(jobs.values()) <= 6, jobs
+    assert common.components(edges.limit(0)).count() == 0
+
+
+def test_sweep_gives_the_drivers_free_memory_back(spark):
+    common.sweep(spark)
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        return sum(int(x.split()[1]) for x in Path(f"/proc/{pid}/smaps_rollup").read_text().splitlines() if x.startswith("Anonymous:"))
+
+    unsafe = spark._jvm.org.apache.spark.unsafe.Platform
+    blocks_ = [unsafe.allocateMemory(64_000) for _ in range(1600)]
+    for b in blocks_:
+        unsafe.setMemory(b, 1, 64_000)
+    for b in blocks_[:-1]:  # the last one keeps the heap's end where it is
+        unsafe.freeMemory(b)
+    before = held()
+    common.sweep(spark)
+    assert held() < before - 50_000  # KB
+    unsafe.freeMemory(blocks_[-1])
