@@ -877,3 +877,47 @@ def test_sweep_gives_the_drivers_free_memory_back(spark):
     common.sweep(spark)
     assert held() < before - 50_000  # KB
     unsafe.freeMemory(blocks_[-1])
+
+
+def test_signatures_are_compared_only_where_lengths_leave_it_open(monkeypatch):
+    rng, asked = random.Random(4), []
+    texts = [words(rng, n, 60) for n in (5, 20, 60, 61, 64, 300, 310, 900, 905) for _ in range(4)]
+    texts += [t[:-40] + words(rng, 6, 60) for t in texts if len(t) > 200]
+    sigs = np.frombuffer(b"".join(edit_embedding.signature(edit_embedding.symbols(t).astype(np.uint64)) for t in texts), np.uint8).reshape(len(texts), -1)
+    a, b = np.array(list(itertools.combinations(range(len(texts)), 2))).T
+    count = edit_embedding.ones
+    monkeypatch.setattr(edit_embedding, "ones", lambda m, k: asked.append(len(m)) or count(m, k))
+    got = edit_embedding.close(0.15)(sigs[a], sigs[b])
+    size = np.array([len(t) for t in texts])
+    lo, hi = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    want, at = hi - lo <= 0.15 * hi, 4
+    like = int((want & (lo > 150)).sum())
+    for _, cells, share, plain, stretches, most in edit_embedding.PARTS:
+        x, y = sigs[a, at : at + cells], sigs[b, at : at + cells]
+        both = np.minimum(((x == y) & (x > 0)).reshape(len(a), stretches, -1).sum(axis=2), most).sum(axis=1)
+        used = ((x > 0) | (y > 0)).sum(axis=1)
+        want &= (both >= share * used - 0.6 * np.sqrt(share * used)) | (lo <= plain)
+        at += cells
+    assert got.tolist() == want.tolist() and 0 < want.sum() < like
+    assert asked[0] == like < len(a) and asked[-1] < like
+
+
+def test_members_of_a_bucket_whose_first_is_far_from_them_are_joined(spark):
+    # 1 is the first of its bucket and near none; 2 to 6 are near each other as (2, 3) and (4, 5, 6); 8 and 9 share a bucket and are apart
+    keys, buckets = np.array([1, 2, 3, 4, 5, 6, 8, 9, 1, 4, 5, 6]), np.array([1, 1, 1, 1, 1, 1, 2, 2, 3, 3, 3, 3], np.uint64) << np.uint64(60)
+    near = {(2, 3), (4, 5), (5, 6), (4, 6)}
+    made = common.scattered(keys, buckets, common.ranges(spark))
+    rows = spark.createDataFrame(pa.Table.from_batches([made]).to_pylist(), common.SCATTERED)
+    sigs = spark.createDataFrame([(k, bytes([k])) for k in range(1, 10)], "__key long, sig binary")
+    compared = spark.sparkContext.accumulator(0)
+
+    def close(x, y):
+        compared.add(int((np.minimum(x[:, 0], y[:, 0]) == 1).sum()))
+        return np.ones(len(x), bool)
+
+    def verify(pairs):
+        return pairs.filter(" or ".join(f"(a = {a} and b = {b})" for a, b in near))
+
+    got = {tuple(r) for r in common.agreed(rows, verify, sigs, close).select(common.KEY, "comp").collect()}
+    assert got == {(2, 2), (3, 2), (4, 4), (5, 4), (6, 4)}
+    assert compared.value == 5  # as a star once each, and not again with all others
